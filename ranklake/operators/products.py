@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.functions.text import blank_to, joined
+from ranklake.operators.sizing import HOT_ROWS, hot_keys, replicate_hot, split_hot
 
 PRODUCT_COLUMNS = (
     "doc_id",
@@ -97,14 +98,19 @@ def to_product_table(with_text: DataFrame) -> DataFrame:
     return with_text.withColumn("doc_id", F.md5("parent_asin")).select(*PRODUCT_COLUMNS)
 
 
-def join_all_reviews(meta: DataFrame, reviews: DataFrame) -> DataFrame:
+def join_all_reviews(meta: DataFrame, reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every product with every one of its reviews; products without any are kept.
 
-    Written as an inner join and the products left over: adaptive execution can
-    split a hot product's reviews in an inner join, but not on the right side of
-    a left join.
+    The reviews of a hot product are spread over salts, with a copy of the
+    product for each.
     """
-    matched = meta.join(reviews, "parent_asin", "inner")
+    reviews = reviews.filter(F.col("parent_asin").isNotNull())
+    hot = hot_keys(reviews, "parent_asin", hot_rows)
+    spread = [c for c in reviews.columns if c != "parent_asin"]
+    ordinary, salted = split_hot(reviews, "parent_asin", hot, spread)
+    matched = meta.join(ordinary, "parent_asin").unionByName(
+        replicate_hot(meta, "parent_asin", hot).join(salted, ["parent_asin", "salt"]).drop("salt")
+    )
     reviewed = reviews.select("parent_asin").distinct()
     rest = meta.join(reviewed, "parent_asin", "left_anti")
     return matched.unionByName(rest, allowMissingColumns=True)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ranklake.sources.storage import stored
 
-# Value ranges into which the distinct values of a column are divided for
-# exact quantiles.
-_RANGES = 256
+# Distinct values per range of values, and the most ranges, in exact quantiles.
+_RANGE_SIZE = 100_000
+_MAX_RANGES = 4096
 
 
 def _unpivot(df: DataFrame, values: dict[str, Column], value_name: str) -> DataFrame:
@@ -66,9 +66,10 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("n")),
         "values",
     )
-    cuts = [i / _RANGES for i in range(1, _RANGES)]
+    n_ranges = min(_MAX_RANGES, 2 + values.count() // _RANGE_SIZE)
+    cuts = [i / n_ranges for i in range(1, n_ranges)]
     ranges = values.groupBy("column_name").agg(
-        F.percentile_approx("value", cuts, F.lit(100 * _RANGES)).alias("cuts"),
+        F.percentile_approx("value", cuts, F.lit(100 * n_ranges)).alias("cuts"),
         F.sum("n").alias("total"),
     )
     placed = values.join(F.broadcast(ranges), "column_name").withColumn(

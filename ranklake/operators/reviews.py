@@ -13,9 +13,10 @@ TOP_N_REVIEWS = 10
 def usable_reviews(reviews: DataFrame) -> DataFrame:
     """``parent_asin, review_text, rating, votes`` of reviews with a text.
 
-    Only spaces count as blank.  A missing vote count is zero.
+    Only spaces count as blank.  A missing vote count is zero.  Reviews that name
+    no product are left out, as no product would join them.
     """
-    return reviews.filter(F.trim("text") != "").select(
+    return reviews.filter((F.trim("text") != "") & F.col("parent_asin").isNotNull()).select(
         "parent_asin",
         F.col("text").alias("review_text"),
         "rating",

@@ -63,3 +63,9 @@ def split_hot(
     salt = F.pmod(F.xxhash64(*spread), F.col("salts")).cast("int")
     salted = df.join(hot, key).withColumn("salt", salt).drop("salts")
     return df.join(hot, key, "left_anti"), salted
+
+
+def replicate_hot(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Rows of hot keys, once per salt: the other side of a join with salted rows."""
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    return df.join(F.broadcast(hot), key).withColumn("salt", every).drop("salts")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.functions.models import EmbedFactory, ScoreFactory, embedding
@@ -95,9 +94,9 @@ def _prepared(queries: DataFrame) -> DataFrame:
     """Clean queries with the columns ``variant_no`` and ``n_variants``."""
     if "variant_no" not in queries.columns:
         queries = queries.withColumn("variant_no", F.lit(0))
-    return clean_queries(queries).withColumn(
-        "n_variants", F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-    )
+    queries = clean_queries(queries)
+    n_variants = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_variants"))
+    return queries.join(n_variants, "query_id")
 
 
 def _warn(queries: DataFrame, notes: list[str]) -> DataFrame:

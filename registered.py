@@ -16,9 +16,10 @@ from ranklake.operators.reviews import aggregate_reviews, rank_reviews
 from ranklake.plans.product_table import product_table, run_etl
 from ranklake.plans.search import Corpus, embed_passages, retrieve, search, search_requests
 from ranklake.sources import feedback, roles, tables
-from ranklake.sources.schemas import FEEDBACK
+from ranklake.sources.schemas import FEEDBACK, REVIEWS
 from ranklake.sources.storage import fresh_path
 from ranklake.streaming.feedback import ingest_feedback
+from ranklake.streaming.refresh import ProductStore
 
 DIMS = 64
 TOP_K = 10
@@ -95,6 +96,21 @@ def etl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_products(spark, f"{path}/processed/products").drop("details")
 
 
+@register
+def product_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews that arrive in two deliveries; only touched parts of the table are rebuilt."""
+    path = fresh_path(spark, "refresh")
+    meta = roles.product_meta(spark, sf_dir)
+    store = ProductStore(f"{path}/reviews", f"{path}/products", buckets=8)
+    store.build(meta)
+    reviews = roles.reviews(spark, sf_dir)
+    for delivery in (F.col("rating") <= 3, F.col("rating") > 3):
+        reviews.filter(delivery).write.mode("append").json(f"{path}/incoming")
+        incoming = spark.readStream.schema(REVIEWS).json(f"{path}/incoming")
+        store.refresh(incoming, meta, f"{path}/checkpoint").awaitTermination()
+    return store.products(spark)
+
+
 @register
 def etl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.row_counts(
@@ -258,6 +274,14 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(hits, "rank")
 
 
+@register
+def bm25_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product names as queries against the documents: most find fewer than ten."""
+    docs, queries = roles.passages(spark, sf_dir), roles.product_queries(spark, sf_dir)
+    hits = lexical.search(_index(spark, sf_dir), queries, TOP_K)
+    return _long(lexical.pad_hits(hits, queries, docs, TOP_K), "rank")
+
+
 @register
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector as a query against all vectors."""
@@ -313,7 +337,7 @@ def _hits(hits: DataFrame, *more: str) -> DataFrame:
 
 @register
 def rrf_fuse_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two BM25 lists of different queries' wording, fused per conversation turn order."""
+    """The vector list and the BM25 list of every query, fused."""
     corpus = _corpus(spark, sf_dir)
     queries = roles.queries(spark, sf_dir)
     by_words = lexical.search(corpus.lexical, queries, TOP_K).drop("bm25_score")
