@@ -53,22 +53,17 @@ def hashing_embedder(dims: int = 64) -> EmbedFactory:
     def factory():
         from hashlib import md5
 
-        slots: dict[str, tuple[int, int]] = {}
-
-        def slot(token: str) -> tuple[int, int]:
-            if token not in slots:
-                digest = md5(token.encode("utf-8")).digest()
-                if len(slots) > 500_000:
-                    slots.clear()
-                slots[token] = (digest[0] % dims, -1 if digest[1] & 1 else 1)
-            return slots[token]
+        import pandas as pd
 
         def embed(texts: Sequence[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dims))
-            for row, text in enumerate(texts):
-                for token in text.split():
-                    dim, sign = slot(token)
-                    out[row, dim] += sign
+            tokens = [text.split() for text in texts]
+            rows = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+            codes, words = pd.factorize(np.array([w for t in tokens for w in t], dtype=object))
+            digests = [md5(word.encode("utf-8")).digest() for word in words]
+            dim = np.array([d[0] % dims for d in digests], dtype=np.int64)
+            sign = np.array([-1.0 if d[1] & 1 else 1.0 for d in digests])
+            sums = np.bincount(rows * dims + dim[codes], sign[codes], len(texts) * dims)
+            out = sums.reshape(len(texts), dims)
             norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return (out / np.where(norm == 0, 1, norm)).astype(np.float32)
 

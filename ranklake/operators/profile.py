@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ranklake.sources.storage import stored
 
-# Distinct values per range of values, and the most ranges, in exact quantiles.
+# Exact quantiles: up to so many distinct values are handled by one aggregate.
+# Beyond, values are divided into ranges: distinct values per range, most ranges.
+_DISTINCT_VALUES = 1_000_000
 _RANGE_SIZE = 100_000
 _MAX_RANGES = 4096
 
@@ -41,32 +43,46 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: dict[str, float]
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: dict[str, float],
+    distinct_limit: int = _DISTINCT_VALUES,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per column.
 
     Values are counted first, so repeated values shrink to one row.  The distinct
-    values are then cut into ranges of about equal size; running counts are made
-    inside each range and shifted by the total of the ranges below.  No task has
-    to see all values of a column.
+    values that are left are measured: within ``distinct_limit`` the built-in
+    weighted percentile takes them, beyond it they are ranked range by range.
     """
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        ).alias("x")
-    ).select("x.*")
+    named = [
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+        for c in columns
+    ]
     values = stored(
-        long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        df.select(F.inline(F.array(*named)))
+        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("n")),
         "values",
     )
-    n_ranges = min(_MAX_RANGES, 2 + values.count() // _RANGE_SIZE)
+    n_distinct = values.count()
+    if n_distinct > distinct_limit:
+        n_ranges = min(_MAX_RANGES, 2 + n_distinct // _RANGE_SIZE)
+        return _quantiles_by_range(values, probabilities, n_ranges)
+    return values.groupBy("column_name").agg(
+        *[F.percentile("value", F.lit(p), F.col("n")).alias(q) for q, p in probabilities.items()]
+    )
+
+
+def _quantiles_by_range(
+    values: DataFrame, probabilities: dict[str, float], n_ranges: int
+) -> DataFrame:
+    """Quantiles of ``column_name, value, n`` by running counts.
+
+    The distinct values are cut into ranges of about equal size; counts run inside
+    each range and are shifted by the total of the ranges below.  No task has to
+    see all values of a column.
+    """
     cuts = [i / n_ranges for i in range(1, n_ranges)]
     ranges = values.groupBy("column_name").agg(
         F.percentile_approx("value", cuts, F.lit(100 * n_ranges)).alias("cuts"),

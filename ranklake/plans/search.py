@@ -28,7 +28,7 @@ MODES = ("semantic", "bm25", "hybrid")
 NO_LEXICAL = "BM25 index not found — falling back to semantic retrieval only."
 NO_VECTORS = "Vector index missing."
 
-_KEYS = ["query_id", "n_variants", "variant_no"]
+_KEYS = ["query_id", "variant_no"]
 
 
 @dataclass(frozen=True)
@@ -55,8 +55,19 @@ class Retrieval:
     warnings: DataFrame
 
 
-def embed_passages(passages: DataFrame, factory: EmbedFactory, batch_size: int = 256) -> DataFrame:
-    """``passages`` with the vector of their content as ``embedding``."""
+def embed_passages(
+    passages: DataFrame,
+    factory: EmbedFactory,
+    batch_size: int = 256,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``passages`` with the vector of their content as ``embedding``.
+
+    Partitions stay as they are read, or are dealt out evenly to ``partitions``
+    where the input has too few for the model to keep all cores busy.
+    """
+    if partitions:
+        passages = passages.repartition(partitions)
     return passages.withColumn("embedding", embedding(F.col("content"), factory, batch_size))
 
 
@@ -91,12 +102,10 @@ def search(
 
 
 def _prepared(queries: DataFrame) -> DataFrame:
-    """Clean queries with the columns ``variant_no`` and ``n_variants``."""
+    """Clean queries with a ``variant_no``."""
     if "variant_no" not in queries.columns:
         queries = queries.withColumn("variant_no", F.lit(0))
-    queries = clean_queries(queries)
-    n_variants = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_variants"))
-    return queries.join(n_variants, "query_id")
+    return clean_queries(queries)
 
 
 def _warn(queries: DataFrame, notes: list[str]) -> DataFrame:
@@ -119,9 +128,9 @@ def _ranked(corpus: Corpus, queries: DataFrame, mode: str | None, top_k: int, po
         channels = as_list(_dense(corpus, queries, pool), 0).unionByName(
             as_list(_lexical(corpus, queries, pool), 1)
         )
-        return _across_variants(rrf_fuse(channels, _KEYS), top_k)
+        return _across_variants(_with_variant_count(rrf_fuse(channels, _KEYS), queries), top_k)
     channel = _dense if mode == "semantic" else _lexical
-    hits = channel(corpus, queries, max(pool, top_k))
+    hits = _with_variant_count(channel(corpus, queries, max(pool, top_k)), queries)
     # A single wording is cut at top_k itself; several are fused from their pools.
     depth = F.when(F.col("n_variants") == 1, F.lit(top_k)).otherwise(F.lit(pool))
     hits = hits.filter(F.col("rank") <= depth)
@@ -131,6 +140,12 @@ def _ranked(corpus: Corpus, queries: DataFrame, mode: str | None, top_k: int, po
     return _across_variants(hits, top_k)
 
 
+def _with_variant_count(lists: DataFrame, queries: DataFrame) -> DataFrame:
+    """Add how many wordings a query has.  The lists are cut to their pools already."""
+    counts = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_variants"))
+    return lists.join(counts, "query_id")
+
+
 def _across_variants(lists: DataFrame, top_k: int) -> DataFrame:
     """Fuse the lists of a query's variants; the list of an only variant stays as it is."""
     fused = rrf_fuse(
