@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ranklake.operators.sizing import BROADCAST_BYTES, Size, measure
+from ranklake.operators.topk import CELLS, BestPerQuery, id_array
 
 SCORE_DIGITS = 6
 
-# Distances held at once by a task.
-_CELLS = 4_000_000
-
 
 def search(
     vectors: DataFrame,
@@ -68,10 +66,12 @@ def _search_broadcast(vectors, queries, k, keys, schema) -> DataFrame:
         if table.num_rows == 0:
             return
         matrix = _matrix(table.column("embedding"))
-        best = _Best(table.num_rows, k)
+        best = BestPerQuery(table.num_rows, k)
         for batch in batches:
-            best.add(matrix, _matrix(batch.column("embedding")), batch.column("doc_id"))
-        yield from best.rows(table, keys).to_batches()
+            if batch.num_rows:
+                vectors = _matrix(batch.column("embedding"))
+                _nearest(best, matrix, vectors, id_array(batch.column("doc_id")))
+        yield from best.table(table, keys, "score").to_batches()
 
     return vectors.mapInArrow(nearest, schema)
 
@@ -91,14 +91,11 @@ def _search_blocks(vectors, queries, k, keys, schema, size: Size, limit) -> Data
     ).withColumn("v_block", every(v_blocks))
 
     def nearest(block: pa.Table, wanted: pa.Table) -> pa.Table:
-        best = _Best(wanted.num_rows, k)
+        best = BestPerQuery(wanted.num_rows, k)
         if wanted.num_rows and block.num_rows:
-            best.add(
-                _matrix(wanted.column("embedding")),
-                _matrix(block.column("embedding")),
-                block.column("doc_id"),
-            )
-        return best.rows(wanted, keys)
+            matrix, vectors = (_matrix(t.column("embedding")) for t in (wanted, block))
+            _nearest(best, matrix, vectors, id_array(block.column("doc_id")))
+        return best.table(wanted, keys, "score")
 
     return (
         left.groupBy("q_block", "v_block")
@@ -117,44 +114,13 @@ def _matrix(column) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-class _Best:
-    """The best ``k`` (distance, id) per query over the batches of one task."""
-
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.n_queries = n_queries
-        self.query = np.empty(0, dtype=np.int64)
-        self.score = np.empty(0)
-        self.doc: np.ndarray | None = None
-
-    def add(self, queries: np.ndarray, vectors: np.ndarray, ids) -> None:
-        if len(ids) == 0 or self.k <= 0:
-            return
-        ids = np.asarray(ids.to_pylist()) if pa.types.is_string(ids.type) else ids.to_numpy()
-        step = max(1, _CELLS // max(1, len(queries)))
-        square = (queries * queries).sum(axis=1)[:, None]
-        for start in range(0, len(vectors), step):
-            part = vectors[start : start + step]
-            distance = square + (part * part).sum(axis=1)[None, :] - 2.0 * (queries @ part.T)
-            # Rounding noise below zero would otherwise show up as -0.0.
-            distance = np.round(np.maximum(distance, 0.0), SCORE_DIGITS) + 0.0
-            kth = min(self.k, distance.shape[1]) - 1
-            edge = np.partition(distance, kth, axis=1)[:, kth]
-            row, col = np.nonzero(distance <= edge[:, None])
-            self._merge(row, distance[row, col], ids[start : start + step][col])
-
-    def _merge(self, query: np.ndarray, score: np.ndarray, doc: np.ndarray) -> None:
-        if self.doc is not None:
-            query = np.concatenate([self.query, query])
-            score = np.concatenate([self.score, score])
-            doc = np.concatenate([self.doc, doc])
-        order = np.lexsort((doc, score, query))
-        query, score, doc = query[order], score[order], doc[order]
-        first = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - first < self.k
-        self.query, self.score, self.doc = query[keep], score[keep], doc[keep]
-
-    def rows(self, table: pa.Table, keys: list[str]) -> pa.Table:
-        doc = [] if self.doc is None else self.doc
-        columns = {key: table.column(key).take(pa.array(self.query)) for key in keys}
-        return pa.table({**columns, "doc_id": pa.array(doc), "score": pa.array(self.score)})
+def _nearest(best: BestPerQuery, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+    """Offer ``vectors`` to ``best``, some at a time."""
+    step = max(1, CELLS // max(1, len(queries)))
+    square = (queries * queries).sum(axis=1)[:, None]
+    for start in range(0, len(vectors), step):
+        part = vectors[start : start + step]
+        distance = square + (part * part).sum(axis=1)[None, :] - 2.0 * (queries @ part.T)
+        # Rounding noise below zero would otherwise show up as -0.0.
+        distance = np.round(np.maximum(distance, 0.0), SCORE_DIGITS) + 0.0
+        best.add(distance, ids[start : start + step])

@@ -69,9 +69,9 @@ def exact_quantiles(
     if n_distinct > distinct_limit:
         n_ranges = min(_MAX_RANGES, 2 + n_distinct // _RANGE_SIZE)
         return _quantiles_by_range(values, probabilities, n_ranges)
-    return values.groupBy("column_name").agg(
-        *[F.percentile("value", F.lit(p), F.col("n")).alias(q) for q, p in probabilities.items()]
-    )
+    shares = F.array(*[F.lit(p) for p in probabilities.values()])
+    found = values.groupBy("column_name").agg(F.percentile("value", shares, F.col("n")).alias("x"))
+    return found.select("column_name", *[F.col("x")[i].alias(q) for i, q in enumerate(probabilities)])
 
 
 def _quantiles_by_range(

@@ -18,6 +18,8 @@ def spark_session(master: str | None = None, app: str = "ranklake", **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Lists of query terms reach the Parquet reader as such, not as a range.
+        .config("spark.sql.parquet.pushdown.inFilterThreshold", "1000")
     )
     if master:
         builder = builder.master(master)

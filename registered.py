@@ -17,7 +17,7 @@ from ranklake.plans.product_table import product_table, run_etl
 from ranklake.plans.search import Corpus, embed_passages, retrieve, search, search_requests
 from ranklake.sources import feedback, roles, tables
 from ranklake.sources.schemas import FEEDBACK, REVIEWS
-from ranklake.sources.storage import fresh_path
+from ranklake.sources.storage import fresh_path, stored
 from ranklake.streaming.feedback import ingest_feedback
 from ranklake.streaming.refresh import ProductStore
 
@@ -122,7 +122,8 @@ def etl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def passages_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    for_words, for_vectors = passages.build_dual_corpora(_products(spark, sf_dir))
+    products = stored(_products(spark, sf_dir), "products")
+    for_words, for_vectors = passages.build_dual_corpora(products)
     return for_words.withColumn("corpus", F.lit("bm25")).unionByName(
         for_vectors.withColumn("corpus", F.lit("faiss"))
     ).select("corpus", "content", *passages.META_COLUMNS)

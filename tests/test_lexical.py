@@ -59,17 +59,21 @@ def corpus():
     return docs, queries
 
 
-def test_search_matches_brute_force(spark, corpus):
+@pytest.mark.parametrize("pushed", [lexical.PUSHED_TERMS, 0])
+@pytest.mark.parametrize("ids", [int, "doc {:03d}".format])
+def test_search_matches_brute_force(spark, corpus, pushed, ids):
     docs, queries = corpus
+    docs = {ids(d): text for d, text in docs.items()}
     _, index = make(spark, docs, shards=3)
-    assert run(spark, index, queries, 10) == {q: brute_force(docs, t, 10) for q, t in queries.items()}
+    assert run(spark, index, queries, 10, pushed=pushed) == {q: brute_force(docs, t, 10) for q, t in queries.items()}
 
 
 def test_parts_of_a_large_query_table_agree(spark, corpus):
     docs, queries = corpus
     _, index = make(spark, docs)
     whole = run(spark, index, queries, 5)
-    assert run(spark, index, queries, 5, limit=500) == whole
+    assert run(spark, index, queries, 5, pushed=0, limit=1500) == whole
+    assert run(spark, index, queries, 5, pushed=0) == whole
     # A query's hits do not depend on the batch it is in.
     assert run(spark, index, {"q3": queries["q3"]}, 5)["q3"] == whole["q3"]
     # The first five are a prefix of the first six.
@@ -77,12 +81,13 @@ def test_parts_of_a_large_query_table_agree(spark, corpus):
     assert all([h[0] for h in whole[q]] == [h[0] for h in longer[q]][:5] for q in queries)
 
 
-def test_negative_idf_repeated_terms_case_and_empty_document(spark):
+@pytest.mark.parametrize("pushed", [lexical.PUSHED_TERMS, 0])
+def test_negative_idf_repeated_terms_case_and_empty_document(spark, pushed):
     docs = {"a": "all red", "b": "all blue blue", "c": "all Red", "d": ""}
     _, index = make(spark, docs)
     assert index.n_docs == 4 and index.avg_len == 7 / 4
     queries = {"all": "all", "twice": "red red", "once": "red", "unknown": "green"}
-    got = run(spark, index, queries, 4)
+    got = run(spark, index, queries, 4, pushed=pushed)
     assert got == {q: brute_force(docs, t, 4) for q, t in queries.items()}
     assert [h[0] for h in got["once"]] == ["a"]
     assert got["twice"][0][3] == pytest.approx(2 * got["once"][0][3], abs=2e-6)
@@ -114,16 +119,33 @@ def test_index_opened_again(spark, corpus, rows):
     assert lengths == {d: len(t.split()) for d, t in docs.items()}
 
 
-def test_scores_are_added_up_without_a_shuffle_of_postings(spark, corpus):
+@pytest.mark.parametrize("pushed", [lexical.PUSHED_TERMS, 0])
+def test_scores_are_added_up_without_a_shuffle_of_postings(spark, corpus, pushed):
     docs, queries = corpus
     _, index = make(spark, docs, shards=4)
     frame = spark.createDataFrame(list(queries.items()), "query_id string, query string")
-    hits = lexical.search(index, frame, 5)
+    hits = lexical.search(index, frame, 5, pushed=pushed)
     hits.collect()
     plan = plan_of(hits).split("Initial Plan")[0]
     assert "Bucketed: true" in plan and "WindowGroupLimit" in plan
     assert "hashpartitioning(doc_id" not in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert ("MapInArrow" in plan) == (pushed == 0)
+
+
+def test_blocks_of_a_large_batch(spark, corpus, monkeypatch):
+    docs, queries = corpus
+    _, index = make(spark, docs, shards=1)
+    whole = run(spark, index, queries, 7)
+    for cells in (1, 50, 400):
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        assert run(spark, index, queries, 7, pushed=0) == whole
+
+
+def test_few_terms_are_pushed_into_the_scan(spark, corpus):
+    docs, _ = corpus
+    _, index = make(spark, docs)
+    frame = spark.createDataFrame([("q", "w1 w2")], "query_id string, query string")
+    assert "In(term, [w" in plan_of(lexical.search(index, frame, 5))
 
 
 def test_tokenizer_plug_in(spark):
