@@ -225,6 +225,8 @@ def retrieve(
         variants = numbered(queries.withColumn("variants", F.lit(None).cast("array<string>")))
         blank = queries.join(variants.select("query_id"), "query_id", "left_anti")
         warnings = blank.select("query_id", F.lit(EMPTY_QUERY).alias("warning"))
+    # Every channel reads the variants, so they are parsed and numbered once.
+    variants = stored(variants, "variants")
     depth = rerank_pool if scorer else top_k
     found = search(corpus, variants, mode, depth)
     hits = found.hits
