@@ -55,21 +55,15 @@ class ProductStore:
 
     def _apply(self, batch: DataFrame, batch_id: int, meta: DataFrame) -> None:
         spark = batch.sparkSession
-        # A batch owns its folder, so that a repeated batch replaces itself.
-        folder = f"{self.reviews_path}/delivery={batch_id}"
-        (
-            batch.filter(F.col("parent_asin").isNotNull())
-            .withColumn("bucket", self._bucket())
-            .write.mode("overwrite")
-            .partitionBy("bucket")
-            .parquet(folder)
-        )
+        batch = batch.filter(F.col("parent_asin").isNotNull()).withColumn("bucket", self._bucket())
         # At most ``buckets`` numbers.
-        touched = [
-            r["bucket"] for r in spark.read.parquet(folder).select("bucket").distinct().collect()
-        ] if batch.take(1) else []
+        touched = [row["bucket"] for row in batch.select("bucket").distinct().collect()]
         if not touched:
             return
+        # A batch owns its folder, so that a repeated batch replaces itself.
+        batch.write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.reviews_path}/delivery={batch_id}"
+        )
         reviews = spark.read.parquet(self.reviews_path).filter(F.col("bucket").isin(touched))
         products = product_table(reviews, meta.filter(self._bucket().isin(touched)), self.top_n)
         self._replace(products)

@@ -118,7 +118,8 @@ def test_product_store_refresh(spark, tmp_path):
     store.build(meta)
     assert store.products(spark).count() == 20
     incoming, checkpoint = str(tmp_path / "in"), str(tmp_path / "check")
-    for delivery in ([("p1", "one", 5.0, 1)], [("p1", "two", 4.0, 9), ("p2", "x", 1.0, None)], [("p9", " ", 1.0, 1)]):
+    for delivery in ([("p1", "one", 5.0, 1)], [("p1", "two", 4.0, 9), ("p2", "x", 1.0, None)], [("p9", " ", 1.0, 1)],
+                     [(None, "stray", 1.0, 1)]):
         spark.createDataFrame(delivery, schema).write.mode("append").json(incoming)
         stream = spark.readStream.schema(schema).json(incoming)
         store.refresh(stream, meta, checkpoint).awaitTermination()
