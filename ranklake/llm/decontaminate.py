@@ -7,8 +7,9 @@ a text holds lies in one passage whole.  Weights are divided by an item's score
 threshold fits items of all lengths.
 
 Per passage all items at or above the threshold are retrieved by block-max WAND.  Most passages end
-before: the sum of their terms' largest weights, a bound of every score, is taken from prefix sums for
-a block of texts at once.  What is retrieved is verified: enough of the question's and of the answer's
+before: like items are neighbours in the index, and for up to ``GROUPS`` ranges of items the sum of the
+largest weights of a passage's terms, a bound of every score there, is taken for many passages at once.
+WAND then runs over the ranges whose bound reaches the threshold.  What is retrieved is verified: enough of the question's and of the answer's
 ``SHINGLE`` word sequences must stand in the passage.
 
 Nothing but the statistics of the items is shuffled.
@@ -38,6 +39,10 @@ THRESHOLD = 0.5
 SHINGLE = 3
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.5
 BLOCK = 16
+#: Ranges of items for which a passage's best possible score is computed at once.
+GROUPS = 64
+#: Passages whose bounds are computed at once.
+SLICE = 1024
 SHARD_BYTES = 8 * 1024 * 1024
 MIN_STRIDE = 32
 #: Share of an item's words that are the question, where it comes as one text.
@@ -78,11 +83,28 @@ class BlockMaxIndex:
     def __init__(self, item: np.ndarray, term: np.ndarray, weight: np.ndarray, n_items: int, block: int = BLOCK):
         total = np.bincount(item, weights=weight, minlength=n_items)
         weight = weight / total[item]
+        # Like items are neighbours, so that maxima over ranges of items are close to their weights:
+        # first by an item's most common term, then by its score against itself.
+        _, number, df = np.unique(term, return_inverse=True, return_counts=True)
+        common = np.zeros(n_items, np.int64)
+        np.maximum.at(common, item, df[number] * (len(df) + 1) + number)
+        self.item_of = np.lexsort((total, common))
+        rank = np.empty(n_items, np.int64)
+        rank[self.item_of] = np.arange(n_items)
+        item = rank[item]
         order = np.lexsort((item, term))
         item, term, weight = item[order], term[order], weight[order]
         self.terms, begin = np.unique(term, return_index=True)
         self.largest = np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0)
         self.block = block
+        # The largest weight of each term in each of at most GROUPS ranges of items,
+        self.ranges = np.unique(np.linspace(0, n_items, min(GROUPS, n_items) + 1).astype(np.int64))
+        # in steps of the largest weight over 255, rounded up.
+        self.step = float(weight.max()) / 255 if len(weight) else 1.0
+        self.by_range = np.zeros((len(self.terms), max(1, len(self.ranges) - 1)), np.uint8)
+        spans = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(term))))
+        steps = np.minimum(255, np.ceil(weight / self.step)).astype(np.uint8)
+        np.maximum.at(self.by_range, (spans, np.searchsorted(self.ranges, item, "right") - 1), steps)
         self.postings = []
         for lo, hi in zip(begin, np.append(begin[1:], len(term))):
             cuts = range(lo, hi, block)
@@ -93,11 +115,19 @@ class BlockMaxIndex:
                 )
             )
 
-    def search(self, term_numbers: list[int], threshold: float) -> list[tuple[int, float]]:
-        """(item, score) of all items at or above the threshold, for distinct terms: block-max WAND."""
+    def search(self, term_numbers: list[int], threshold: float, lo: int = 0, hi: int | None = None) -> list[tuple[int, float]]:
+        """(item, score) of all items at or above the threshold, for distinct terms: block-max WAND.
+
+        ``lo`` and ``hi`` limit it to a range of the index's own order.
+        """
         slack = threshold - 1e-9
-        cursors = [[self.postings[t].items[0], 0, t] for t in term_numbers]
-        out = []
+        end = len(self.item_of) if hi is None else hi
+        cursors, out = [], []
+        for t in term_numbers:
+            items = self.postings[t].items
+            at = bisect_left(items, lo)
+            if at < len(items) and items[at] < end:
+                cursors.append([items[at], at, t])
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
@@ -131,7 +161,7 @@ class BlockMaxIndex:
                 for _, at, t in cursors[: pivot + 1]:
                     score += self.postings[t].weights[at]
                 if score >= slack:
-                    out.append((item, score))
+                    out.append((int(self.item_of[item]), score))
                 target, move = item + 1, range(pivot + 1)
             else:
                 target, move = item, [k for k in range(pivot + 1) if cursors[k][0] < item]
@@ -139,7 +169,7 @@ class BlockMaxIndex:
                 _, at, t = cursors[k]
                 p = self.postings[t]
                 at = bisect_left(p.items, target, at)
-                cursors[k] = [p.items[at], at, t] if at < len(p.items) else None
+                cursors[k] = [p.items[at], at, t] if at < len(p.items) and p.items[at] < end else None
             cursors = [c for c in cursors if c is not None]
         return out
 
@@ -226,22 +256,42 @@ def search_block(shard: Shard, found: Words, threshold: float = THRESHOLD) -> li
     if not len(index.terms) or not len(h):
         return []
     at = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
-    known = index.terms[at] == h
-    bound = np.concatenate(([0.0], np.cumsum(np.where(known, index.largest[at], 0.0))))
+    known = np.flatnonzero(index.terms[at] == h)
     counts = np.diff(found.first)
     # Passages begin every stride words; the last one reaches a text's end.
     n_passages = np.where(counts > 0, np.maximum(1, -(-counts // stride) - 1), 0)
     text = np.repeat(np.arange(len(counts)), n_passages)
     begin = found.first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(n_passages) - n_passages, n_passages)) * stride
     end = np.minimum(begin + 2 * stride, found.first[text + 1])
+    # Distinct (passage, term): a word lies in the last passage that begins before it and in that one's
+    # predecessor, where they reach it.
+    last = np.searchsorted(begin, known, "right") - 1
+    pairs = []
+    for passage in (last, last - 1):
+        inside = (passage >= 0) & (begin[passage] <= known) & (known < end[passage])
+        pairs.append(passage[inside] * len(index.terms) + at[known[inside]])
+    distinct = np.sort(np.concatenate(pairs))
+    distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))] if len(distinct) else distinct
+    owner, term = distinct // len(index.terms), distinct % len(index.terms)
+    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else owner
     best: dict[tuple[int, int], tuple] = {}
-    for i in np.flatnonzero(bound[end] - bound[begin] >= threshold - 1e-9).tolist():
+    if not len(owner):
+        return []
+    ends = np.append(starts[1:], len(term))
+    # Of each passage and range of items, the largest score there could be.
+    bound = np.zeros((len(starts), index.by_range.shape[1]), bool)
+    for lo in range(0, len(starts), SLICE):
+        hi = min(lo + SLICE, len(starts))
+        rows = index.by_range[term[starts[lo] : ends[hi - 1]]]
+        sums = np.add.reduceat(rows, starts[lo:hi] - starts[lo], axis=0, dtype=np.uint32)
+        bound[lo:hi] = sums >= (threshold - 1e-9) / index.step
+    for k in np.flatnonzero(bound.any(1)).tolist():
+        i = int(owner[starts[k]])
         lo, hi = int(begin[i]), int(end[i])
-        terms = np.unique(at[lo:hi][known[lo:hi]])
-        if index.largest[terms].sum() < threshold - 1e-9:
-            continue
+        terms = term[starts[k] : ends[k]].tolist()
+        hits = [x for r in np.flatnonzero(bound[k]).tolist() for x in index.search(terms, threshold, int(index.ranges[r]), int(index.ranges[r + 1]))]
         there = None
-        for item, score in index.search(terms.tolist(), threshold):
+        for item, score in hits:
             if there is None:
                 there = np.concatenate([chain(h[lo:hi], k) for k in range(1, SHINGLE + 1)])
             q, a = _share(shard.question[item], there), _share(shard.answer[item], there)
