@@ -33,9 +33,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stored(
         links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi != lo").distinct(), "edges"
     )
-    while True:
+    while not edges.isEmpty():
         edges = stored(_small_star(_large_star(edges)), "edges")
         chained = edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").select("hi")
         forked = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hi")
         if chained.unionByName(forked).isEmpty():
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+            break
+    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

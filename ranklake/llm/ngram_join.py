@@ -10,10 +10,11 @@ least ``PERCENT`` hundredths.
    share a prefix shingle.  Documents with identical prefix and size are one group.  Only groups are
    indexed by their prefix shingles, once per task; shingles of a single group are dropped.
 3. Group pairs are filtered by size and by the position of a common shingle, then expanded to the
-   distinct sets of their members, and these are verified on whole texts.
-4. Pairs are not listed within large groups of copies.  First each group is tried against a few pivots,
-   picked anew in each round, and what links is one component.  Then every remaining pair of groups in
-   different components is verified, at their first common shingle only, so that no link is missed.
+   distinct sets of their members.  Counts of shingles in ``PARTS`` parts of their space bound a pair's
+   overlap; what is left is verified on whole texts.
+4. Pairs are not listed within large groups of copies.  Groups that share a shingle with many others are
+   first tried against a few pivots, picked anew in each round, and what links is one component.  Then
+   every remaining pair of groups in different components is verified, so that no link is missed.
 
 Skew: identical documents are one row from the start, in each task; a shingle that the sketch counts
 above ``HOT_ROWS`` is salted; other joins on hot keys are split by adaptive execution.  Driver: the
@@ -49,9 +50,13 @@ SKETCH_BLOCKS = 64
 FAN_IN = 128
 #: Rows of one shingle in one window; more are salted.
 HOT_ROWS = 200_000
+#: Groups that share one shingle; where more do, pivots come before pairs.
+LONG_LIST = 64
 #: Pivots a group is tried against in a round, and rounds.
 PIVOTS = 4
 ROUNDS = 4
+#: Parts of the shingles' space whose counts bound an overlap.
+PARTS = 256
 #: First bits of a text's hash in the bit set of wanted texts.
 WANTED_BITS = 24
 
@@ -141,8 +146,14 @@ def _text_hash(text: bytes) -> bytes:
     return _digest(text, 16)
 
 
-_MEMBERS = "doc_id long, n long, sid binary, gid long, tid binary"
-_MEMBER_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+_MEMBERS = "doc_id long, n long, sid binary, gid long, tid binary, parts binary"
+_MEMBER_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+
+
+def _parts(s: np.ndarray) -> bytes:
+    """How many shingles lie in each of PARTS parts of their space; empty where a byte can't hold it."""
+    counts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def _members(shared, size: int, bits: int, percent: int):
@@ -157,10 +168,10 @@ def _members(shared, size: int, bits: int, percent: int):
                 for i, s in enumerate(shingle_sets(words(b, SPACED), size)):
                     if len(s):
                         gid = _group(_prefix(s, order, bits, percent), len(s))
-                        rows.append((ids[b.lo + i], len(s), _digest(s.tobytes(), 16), gid, _text_hash(b.text(i))))
+                        rows.append((ids[b.lo + i], len(s), _digest(s.tobytes(), 16), gid, _text_hash(b.text(i)), _parts(s)))
                     else:
-                        rows.append((ids[b.lo + i], 0, None, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MEMBER_TYPES)], names=["doc_id", "n", "sid", "gid", "tid"])
+                        rows.append((ids[b.lo + i], 0, None, None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MEMBER_TYPES)], names=["doc_id", "n", "sid", "gid", "tid", "parts"])
 
     return run
 
@@ -201,6 +212,86 @@ def _entries(shared, size: int, bits: int, percent: int, hot_level: int):
     return run
 
 
+# -- lists of groups by shingle ----------------------------------------------
+
+_LISTS = "kind int, a long, b long, n int, i int"
+
+
+def _lists(percent: int):
+    """From entries sorted by shingle, salt and group: pairs (kind 0: a, b) of groups on short lists that
+    may link, and the entries (kind 1: shingle, group, n, i) of long or salted ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("token", "salt", "gid", "n", "i")
+        held = {k: np.zeros(0, np.int64) for k in names}
+        # Whether the held rows are the last one of a long list, written already.
+        written = False
+
+        def emit(c: dict, final: bool):
+            nonlocal held, written
+            size = len(c["token"])
+            if not size:
+                return
+            new = np.ones(size, bool)
+            new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["salt"][1:] != c["salt"][:-1]) | (c["gid"][1:] != c["gid"][:-1])
+            c = {k: v[new] for k, v in c.items()}
+            size = len(c["token"])
+            change = np.flatnonzero((c["token"][1:] != c["token"][:-1]) | (c["salt"][1:] != c["salt"][:-1])) + 1
+            begin = np.concatenate(([0], change))
+            length = np.diff(np.append(begin, size))
+            listed = (length > LONG_LIST) | (c["salt"][begin] > 0)
+            listed[0] |= written
+            done = len(begin) if final else len(begin) - 1
+            skip = written
+            long = np.repeat(listed, length)
+            if skip:
+                long[0] = False
+            keep_from = size
+            if not final:
+                keep_from = int(begin[-1])
+                written = bool(listed[-1])
+                if written:
+                    # What is here of the long list goes now; its last row stays to tell copies.
+                    keep_from = size - 1
+                else:
+                    long[keep_from:] = False
+                held = {k: v[keep_from:] for k, v in c.items()}
+            rows = np.flatnonzero(long)
+            if len(rows):
+                yield _listed(np.ones(len(rows), np.int32), c["token"][rows], c["gid"][rows], c["n"][rows], c["i"][rows])
+            short = np.flatnonzero(~listed[:done] & (length[:done] > 1))
+            found = []
+            for size_of in np.unique(length[short]).tolist():
+                first = begin[short[length[short] == size_of]]
+                x, y = np.triu_indices(size_of, 1)
+                x, y = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
+                n, m, i, j = c["n"][x], c["n"][y], c["i"][x], c["i"][y]
+                fits = (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(n - i, m - j) * (100 + percent) >= (n + m) * percent)
+                found.append(np.stack((c["gid"][x[fits]], c["gid"][y[fits]])))
+            if found:
+                a, b = np.sort(np.concatenate(found, axis=1), axis=0)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                once = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+                if once.any():
+                    zero = np.zeros(int(once.sum()), np.int32)
+                    yield _listed(zero, a[once], b[once], zero, zero)
+
+        for batch in batches:
+            now = {k: np.concatenate((held[k], batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64))) for k in names}
+            yield from emit(now, False)
+        if len(held["token"]):
+            yield from emit(held, True)
+
+    return run
+
+
+def _listed(kind, a, b, n, i) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kind, pa.int32()), pa.array(a), pa.array(b), pa.array(n.astype(np.int32)), pa.array(i.astype(np.int32))], names=["kind", "a", "b", "n", "i"]
+    )
+
+
 # -- candidates --------------------------------------------------------------
 
 
@@ -249,23 +340,18 @@ def _pair_bound(unsettled: DataFrame) -> int:
 
 
 def _remaining_candidates(unsettled: DataFrame, percent: int) -> DataFrame:
-    """gid, pivot: pairs of groups of different components, each at its first common shingle."""
-    listed = unsettled.groupBy("gid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("tokens")
-    )
-    left = unsettled.join(listed, "gid")
-    right = left.select(
-        F.col("token").alias("their"), F.col("gid").alias("pivot"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("other"), F.col("tokens").alias("theirs")
+    """gid, pivot: pairs of groups of different components that share a shingle and may link."""
+    other = unsettled.select(
+        F.col("token").alias("their"), F.col("gid").alias("pivot"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("other")
     )
     apart = F.col("comp").isNull() | F.col("other").isNull() | (F.col("comp") != F.col("other"))
-    return left.join(
-        right,
+    return unsettled.join(
+        other,
         (F.col("token") == F.col("their"))
         & (F.col("gid") < F.col("pivot"))
         & apart
-        & _may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)
-        & (F.get(F.array_intersect("tokens", "theirs"), F.lit(0)) == F.col("token")),
-    ).select("gid", "pivot")
+        & _may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent),
+    ).select("gid", "pivot").distinct()
 
 
 # -- verification ------------------------------------------------------------
@@ -312,8 +398,11 @@ def _verifier(size: int, percent: int):
 
 
 def _verify(spark, source: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: the pairs of sets that link, by their whole texts.  ``pairs`` has a, b and tid_a, tid_b."""
+    """a, b: the pairs of sets that link, by their whole texts.  ``pairs`` is from :func:`_sets_of`."""
+    pairs = pairs.mapInArrow(_prune(percent), "a binary, b binary, tid_a binary, tid_b binary")
     pairs = stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     tids = pairs.select(F.col("tid_a").alias("tid")).unionByName(pairs.select(F.col("tid_b").alias("tid")))
     place = F.conv(F.hex(F.substring("tid", 1, 3)), 16, 10).cast("int")
     octets = tids.select(place.alias("p")).select(F.expr("p div 8").cast("int").alias("octet"), F.expr("shiftleft(1, p % 8)").alias("bit"))
@@ -330,14 +419,45 @@ def _verify(spark, source: DataFrame, pairs: DataFrame, size: int, percent: int)
     return stored(joined.select("a", "b", "ta", "tb").mapInArrow(_verifier(size, percent), "a binary, b binary"), "links")
 
 
+def _prune(percent: int):
+    """Pairs whose overlap can reach the threshold by the counts of their shingles in each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pa_, pb = batch.column("parts_a").to_pylist(), batch.column("parts_b").to_pylist()
+            known = [k for k, (x, y) in enumerate(zip(pa_, pb)) if x and y]
+            keep = np.ones(len(pa_), bool)
+            if known:
+                x = np.frombuffer(b"".join(pa_[k] for k in known), np.uint8).reshape(-1, PARTS)
+                y = np.frombuffer(b"".join(pb[k] for k in known), np.uint8).reshape(-1, PARTS)
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+                keep[known] = most * (100 + percent) >= total * percent
+            yield batch.select(["a", "b", "tid_a", "tid_b"]).filter(pa.array(keep))
+
+    return run
+
+
 def _sets_of(sets: DataFrame, pairs: DataFrame, every: bool) -> DataFrame:
     """Group pairs as pairs of distinct sets: all of one group with the other's first, or with all."""
-    other = sets if every else sets.groupBy("gid").agg(F.min(F.struct("sid", "tid")).alias("s")).select("gid", "s.sid", "s.tid")
-    a = sets.select("gid", F.col("sid").alias("a"), F.col("tid").alias("tid_a"))
-    b = other.select(F.col("gid").alias("pivot"), F.col("sid").alias("b"), F.col("tid").alias("tid_b"))
+    columns = ["sid", "tid", "parts"]
+    other = sets.select("gid", *columns)
+    if not every:
+        other = sets.groupBy("gid").agg(F.min(F.struct(*columns)).alias("s")).select("gid", *[f"s.{c}" for c in columns])
+    a = sets.select("gid", F.col("sid").alias("a"), F.col("tid").alias("tid_a"), F.col("parts").alias("parts_a"))
+    b = other.select(F.col("gid").alias("pivot"), F.col("sid").alias("b"), F.col("tid").alias("tid_b"), F.col("parts").alias("parts_b"))
     expanded = pairs.join(a, "gid").join(b, "pivot")
     # Within a group each pair once.
-    return expanded.filter("a < b or gid != pivot" if every else "a != b").select("a", "b", "tid_a", "tid_b")
+    return expanded.filter("a < b or gid != pivot" if every else "a != b").select("a", "b", "tid_a", "tid_b", "parts_a", "parts_b")
+
+
+def _labels(sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets with their components, and of each group the least and largest."""
+    roots = components(links)
+    labelled = stored(
+        sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "gid", F.coalesce("root", "sid").alias("comp")), "labelled"
+    )
+    return labelled, labelled.groupBy("gid").agg(F.min("comp").alias("cmin"), F.max("comp").alias("cmax"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,41 +470,39 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     hot_level = int(order[counts >= HOT_ROWS].min()) if len(hot) else 99
     shared = spark.sparkContext.broadcast(order)
     members = stored(source.mapInArrow(_members(shared, size, sketch_bits, percent), _MEMBERS), "members")
-    sets = members.filter("n > 0").groupBy("sid", "gid").agg(F.min("tid").alias("tid"), F.min("doc_id").alias("doc_id"))
+    sets = members.filter("n > 0").groupBy("sid", "gid").agg(F.min("tid").alias("tid"), F.first("parts").alias("parts"), F.min("doc_id").alias("doc_id"))
     sets = stored(sets, "sets")
     entries = source.select("text").mapInArrow(_entries(shared, size, sketch_bits, percent, hot_level), _ENTRIES)
-    same = Window.partitionBy("token", "salt")
-    entries = entries.withColumns({"lo": F.min("gid").over(same), "hi": F.max("gid").over(same)})
-    entries = stored(entries.filter("lo != hi or salt > 0").select("token", "gid", "n", "i").distinct(), "entries")
+    key = ["token", "salt"]
+    lists = stored(entries.repartition(*key).sortWithinPartitions(*key, "gid").mapInArrow(_lists(percent), _LISTS), "lists")
+    near = lists.filter("kind = 0").select(F.col("a").alias("gid"), F.col("b").alias("pivot")).distinct()
+    long = lists.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("gid"), "n", "i")
 
-    # Members of one group against its first.
+    # Members of one group against its first, and groups on long lists against pivots.
     many = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     own = many.select("gid", F.col("gid").alias("pivot"))
     links, nodes = None, sets.count()
-    unsettled = entries
+    open_lists = long
     for turn in range(ROUNDS):
         seed = int.from_bytes(_digest(bytes([turn]), 8), "little", signed=True)
-        tried = _star_candidates(unsettled.select("token", "gid", "n", "i"), seed, percent)
+        tried = _star_candidates(open_lists.select("token", "gid", "n", "i"), seed, percent)
         pairs = _sets_of(sets, tried.unionByName(own) if turn == 0 else tried, every=False)
         found = _verify(spark, source, pairs, size, percent)
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        labelled = stored(
-            sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "gid", "doc_id", F.coalesce("root", "sid").alias("comp")), "labelled"
-        )
-        groups = labelled.groupBy("gid").agg(F.min("comp").alias("cmin"), F.max("comp").alias("cmax"))
-        unsettled = stored(_unsettled(entries, groups), "unsettled")
-        if _pair_bound(unsettled) <= nodes:
+        labelled, groups = _labels(sets, links)
+        open_lists = stored(_unsettled(long, groups), "open_lists")
+        if _pair_bound(open_lists) <= nodes:
             break
     split = groups.filter("cmin != cmax").select("gid", F.col("gid").alias("pivot"))
     comp = labelled.select("sid", "comp")
-    rest = _sets_of(sets, _remaining_candidates(unsettled, percent).unionByName(split), every=True)
+    remaining = near.unionByName(_remaining_candidates(open_lists, percent)).distinct().unionByName(split)
+    rest = _sets_of(sets, remaining, every=True)
     rest = (
         rest.join(comp.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a")
         .join(comp.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b")
         .filter("ca != cb")
     )
-    found = _verify(spark, source, rest.select("a", "b", "tid_a", "tid_b"), size, percent)
+    found = _verify(spark, source, rest.drop("ca", "cb"), size, percent)
     roots = components(links.unionByName(found))
     final = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     named = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
