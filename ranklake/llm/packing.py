@@ -165,8 +165,6 @@ class WordEncoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.limit:
-            self._clear()
         found = self.encode_words(words)
         count = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(count.sum()))
@@ -199,12 +197,12 @@ class WordEncoder:
         known = np.flatnonzero(at < len(self.keys))
         new = np.sort(np.concatenate((new, known[self.keys[at[known]] != distinct[known]])))
         if len(new):
+            if len(self.keys) + len(new) > self.limit:
+                # The cache starts anew with all words of this block.
+                self._clear()
+                new = np.arange(len(distinct))
             whole = "".join(texts)
-            before = len(self.keys)
             self._learn(distinct[new], [whole[starts[i] : ends[i]] for i in first[new].tolist()])
-            if len(self.keys) != before + len(new):  # started anew: the known ones are gone too
-                rest = np.setdiff1d(np.arange(len(distinct)), new)
-                self._learn(distinct[rest], [whole[starts[i] : ends[i]] for i in first[rest].tolist()])
             at = np.searchsorted(self.keys, distinct)
         count = self.count[at][which]
         place = self.place[at][which]

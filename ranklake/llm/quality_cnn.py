@@ -50,9 +50,10 @@ class Model:
     intercept: float
 
 
-def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with WIDTH - 1 zeros after each; the chunks' first positions, and each text's first chunk."""
-    starts, first, parts, at = [], [0], [], 0
+def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with WIDTH - 1 zeros after each; the chunks' first positions, each text's first chunk, and
+    the positions of the zeros between texts."""
+    starts, first, parts, at, gaps = [], [0], [], 0, []
     gap = np.zeros(WIDTH - 1, np.uint8)
     for t in texts:
         body = t if len(t) else np.zeros(1, np.uint8)
@@ -60,22 +61,25 @@ def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         first.append(len(starts))
         parts += [body, gap]
         at += len(body) + WIDTH - 1
-    return np.concatenate(parts), np.array(starts), np.array(first)
+        gaps.append(at - WIDTH + 1)
+    between = (np.array(gaps[:-1], np.int64)[:, None] + np.arange(WIDTH - 1)).ravel()
+    return np.concatenate(parts), np.array(starts), np.array(first), between
 
 
-def _responses(tables: np.ndarray, data: np.ndarray) -> np.ndarray:
+def _responses(tables: np.ndarray, data: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """Of all filters at each position; a window that begins between texts belongs to none."""
     n = len(data) - WIDTH + 1
     out = tables[0][data[:n]]
     for k in range(1, WIDTH):
         out += tables[k][data[k : k + n]]
+    out[between] = -np.inf
     return out
 
 
 def score_texts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Probability of label 1 for texts of bytes."""
-    data, starts, first = _padded(texts)
-    # Responses that begin in a gap belong to no text, but to the chunk before: they see its end only.
-    pooled = np.maximum.reduceat(_responses(model.tables, data), starts, axis=0)
+    data, starts, first, between = _padded(texts)
+    pooled = np.maximum.reduceat(_responses(model.tables, data, between), starts, axis=0)
     pooled = np.maximum(pooled + model.bias, 0)
     mean = np.add.reduceat(pooled, first[:-1], axis=0) / np.diff(first)[:, None]
     return 1 / (1 + np.exp(-np.clip(mean @ model.weights + model.intercept, -30, 30)))
@@ -99,8 +103,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             picked = order[lo : lo + BATCH]
-            data, starts, first = _padded([texts[i] for i in picked])
-            r = _responses(p["tables"], data)
+            data, starts, first, between = _padded([texts[i] for i in picked])
+            r = _responses(p["tables"], data, between)
             peak = np.maximum.reduceat(r, starts, axis=0)
             # Where each chunk's maximum stands.
             ends = np.append(starts[1:], len(r))
