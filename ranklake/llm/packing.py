@@ -2,7 +2,7 @@
 
 Each task keeps ``open_windows`` windows open.  A document's token ids, closed by id 0, are cut into
 full windows and a rest.  The rest goes into the open window that it fills best; when it fits in
-none, the fullest window is emitted and a new one opened.  What is still open when a task's input
+none, the fullest window takes what it has room for and is emitted, and what remains goes on.  What is still open when a task's input
 ends is written as leftover; afterwards leftovers of up to ``MERGE`` tasks at a time are merged whole,
 the largest first, each into the fullest window that still takes it.
 
@@ -219,27 +219,35 @@ class OpenWindows:
         self.fill: list[int] = []
         self.pieces: list[list] = []
 
-    def place(self, length: int, piece) -> list | None:
-        """Puts a piece into the window it fills best; returns a window that is done."""
+    def place(self, start: int, length: int, cut) -> list:
+        """Puts ``length`` ids from ``start`` into the window they fill best; returns windows that are done.
+
+        Where they fit in none, the fullest takes what it has room for and is emitted; the rest goes on.
+        ``cut`` makes the piece of a start and a length.
+        """
         best = -1
         for i, fill in enumerate(self.fill):
             if fill + length <= self.size and (best < 0 or fill > self.fill[best]):
                 best = i
-        done = None
+        done: list = []
         if best < 0:
             if len(self.fill) == self.limit:
-                done = self._pop(max(range(self.limit), key=self.fill.__getitem__))
+                fullest = max(range(self.limit), key=self.fill.__getitem__)
+                room = self.size - self.fill[fullest]
+                self._add(fullest, start, room, cut)
+                return self._pop(fullest) + self.place(start + room, length - room, cut)
             self.fill.append(0)
             self.pieces.append([])
             best = len(self.fill) - 1
-        self.pieces[best].append((piece, self.fill[best], length))
-        self.fill[best] += length
+        self._add(best, start, length, cut)
         if self.fill[best] == self.size:
-            # Only one window can be done at a time: one that was emitted made room for this one.
-            full = self._pop(best)
-            return full if done is None else done + full
+            done = self._pop(best)
         return done
 
+    def _add(self, i: int, start: int, length: int, cut) -> None:
+        self.pieces[i].append((cut(start, length), self.fill[i], length))
+        self.fill[i] += length
+
     def _pop(self, i: int) -> list:
         pieces = [(*p, self.fill[i], i_) for i_, p in enumerate(self.pieces[i])]
         self.fill[i], self.pieces[i] = self.fill[-1], self.pieces[-1]
@@ -271,13 +279,15 @@ def _packer(path: str, size: int, limit: int):
                 ids, begin = encoder.encode(block)
                 for i in range(block.hi - block.lo):
                     own = np.append(ids[begin[i] : begin[i + 1]], np.uint32(0)).astype("<u4")
-                    for start in range(0, len(own), size):
-                        cut = own[start : start + size]
-                        piece = (names[done + i], start, len(cut), zlib.crc32(cut.tobytes()), len(own))
-                        if len(cut) == size:
-                            emit([(piece, 0, size, size, 0)], False)
-                        elif window := windows.place(len(cut), piece):
-                            emit(window, False)
+
+                    def cut(start, length, own=own, name=names[done + i]):
+                        return (name, start, length, zlib.crc32(own[start : start + length].tobytes()), len(own))
+
+                    full = len(own) - len(own) % size
+                    for start in range(0, full, size):
+                        emit([(cut(start, size), 0, size, size, 0)], False)
+                    if full < len(own):
+                        emit(windows.place(full, len(own) - full, cut), False)
                 done += block.hi - block.lo
                 if len(out) >= 8192:
                     yield _batch(out)
