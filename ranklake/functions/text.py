@@ -55,8 +55,8 @@ def known(number: Column) -> Column:
 
 
 def rating_note(rating: Column) -> Column:
-    """`` (rated 4.3/5)``, or nothing without a rating."""
-    value = known(rating).cast("double")
+    """`` (rated 4.2/5)`` for 4.25 (half to even), or nothing without a rating."""
+    value = F.bround(known(rating).cast("decimal(30,10)"), 1).cast("double")
     return F.when(value.isNotNull(), F.format_string(" (rated %.1f/5)", value)).otherwise(F.lit(""))
 
 
@@ -83,5 +83,6 @@ def search_mode(label: Column) -> Column:
 
 
 def utc_iso(ts: Column) -> Column:
-    """ISO 8601 text of an instant in UTC; the session time zone must be UTC."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    """ISO 8601 text of an instant in UTC, whatever the session's time zone."""
+    at = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))

@@ -44,8 +44,11 @@ def parse_json_array(text: Column) -> Column:
     from the first ``[`` to the last ``]`` must be one valid array.  Blank items
     are dropped.
     """
-    fenced = F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)```", 1)
-    body = F.when(F.regexp_like(text, F.lit(r"```(?:json)?\s*[\s\S]*?```")), fenced).otherwise(text)
+    # What stands between the first two fence marks, without the language named there.
+    parts = F.split(text, "```")
+    inside = F.get(parts, F.lit(1))
+    unnamed = F.when(inside.startswith("json"), F.substr(inside, F.lit(len("json") + 1))).otherwise(inside)
+    body = F.when(F.size(parts) > 2, unnamed).otherwise(text)
     array = F.nullif(F.regexp_extract(body, r"(\[[\s\S]*\])", 1), F.lit(""))
     # As a field value, anything after the end of the array is a syntax error.
     document = F.try_parse_json(F.concat(F.lit('{"items":'), array, F.lit("}")))
@@ -84,11 +87,13 @@ def expand(
 
     ``responses`` holds ``query_id, raw_response``.  A query whose response is
     missing or unreadable keeps its original text and gets a warning; a blank
-    query gets a warning only.
+    query gets a warning only.  Of several responses to one query the first in
+    the order of their text counts.
     """
+    one = responses.groupBy("query_id").agg(F.min("raw_response").alias("raw_response"))
     joined = (
         queries.select("query_id", "query")
-        .join(responses.select("query_id", "raw_response"), "query_id", "left")
+        .join(one, "query_id", "left")
         .withColumn("parsed", parse_json_array(F.col("raw_response")))
     )
     usable = joined.filter(~is_blank(F.col("query"))).withColumn(

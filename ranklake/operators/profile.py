@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranklake.functions.text import known
 from ranklake.sources.storage import stored
 
 # Exact quantiles: up to so many distinct values are handled by one aggregate.
@@ -28,7 +29,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum of numeric columns."""
     basics = {}
     for name in columns:
-        x = F.col(name).cast("double")
+        x = known(F.col(name)).cast("double")
         basics[name] = F.struct(
             F.count(x).alias("n"),
             F.avg(x).alias("mean"),
@@ -55,7 +56,7 @@ def exact_quantiles(
     weighted percentile takes them, beyond it they are ranked range by range.
     """
     named = [
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(c).alias("column_name"), known(F.col(c)).cast("double").alias("value"))
         for c in columns
     ]
     values = stored(
@@ -123,14 +124,14 @@ def _quantiles_by_range(
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean per column; booleans count as 0 and 1."""
-    return _unpivot(df, {c: F.avg(F.col(c).cast("double")) for c in columns}, "mean")
+    return _unpivot(df, {c: F.avg(known(F.col(c)).cast("double")) for c in columns}, "mean")
 
 
 def null_shares(df: DataFrame) -> DataFrame:
-    """Share of NULLs per column, in one pass."""
-    return _unpivot(
-        df, {c: F.avg(F.col(c).isNull().cast("double")) for c in df.columns}, "null_share"
-    )
+    """Share of NULLs per column, in one pass; NaN counts as missing."""
+    number = {c for c, kind in df.dtypes if kind in ("float", "double")}
+    missing = {c: (known(F.col(c)) if c in number else F.col(c)).isNull() for c in df.columns}
+    return _unpivot(df, {c: F.avg(m.cast("double")) for c, m in missing.items()}, "null_share")
 
 
 def info(df: DataFrame) -> DataFrame:

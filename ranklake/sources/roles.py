@@ -96,8 +96,8 @@ def mode_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Queries and responses from ``conversations``.
 
-    The first user turn is the query.  The next eight are the response, as a
-    fenced JSON array (more than the variants asked for, so that some are cut);
+    The first user turn is the query.  All later ones are the response, as a
+    fenced JSON array (often more than the variants asked for, so that some are cut);
     a conversation without them has a response that holds no array.
     """
     turn_no = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -105,7 +105,6 @@ def conversation_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, D
         table(spark, sf_dir, "conversations")
         .filter(F.col("role") == "user")
         .select(F.col("conv_id").alias("query_id"), turn_no.alias("turn_no"), "text")
-        .filter(F.col("turn_no") <= 9)
     )
     first = turns.filter("turn_no = 1").select("query_id", F.col("text").alias("query"))
     later = turns.groupBy("query_id").agg(

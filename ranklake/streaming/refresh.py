@@ -56,13 +56,19 @@ class ProductStore:
     def _apply(self, batch: DataFrame, batch_id: int, meta: DataFrame) -> None:
         spark = batch.sparkSession
         batch = batch.filter(F.col("parent_asin").isNotNull()).withColumn("bucket", self._bucket())
+        # Products that came with the metadata since the table was written are built too.
+        listed = spark.read.parquet(self.products_path).select("parent_asin")
+        new = meta.withColumn("bucket", self._bucket()).join(listed, "parent_asin", "left_anti")
         # At most ``buckets`` numbers.
-        touched = [row["bucket"] for row in batch.select("bucket").distinct().collect()]
+        buckets = batch.select("bucket").unionByName(new.select("bucket")).distinct()
+        touched = [row["bucket"] for row in buckets.collect()]
         if not touched:
             return
-        # A batch owns its folder, so that a repeated batch replaces itself.
+        # A batch owns its folder, so that a repeated batch replaces itself.  Batch numbers start
+        # anew with each checkpoint; the id of the stream, kept in the checkpoint, tells them apart.
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
         batch.write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.reviews_path}/delivery={batch_id}"
+            f"{self.reviews_path}/delivery={stream}-{batch_id}"
         )
         reviews = spark.read.parquet(self.reviews_path).filter(F.col("bucket").isin(touched))
         products = product_table(reviews, meta.filter(self._bucket().isin(touched)), self.top_n)
