@@ -12,6 +12,7 @@ from ranklake.plans.product_table import product_table
 from ranklake.sources import roles
 from ranklake.sources.schemas import REVIEWS
 from ranklake.streaming.refresh import ProductStore
+from ranklake.sources import storage
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -67,3 +68,12 @@ def test_utc_whatever_the_session_time_zone(spark):
         assert df.select(utc_iso(F.col("t"))).first()[0] == "2024-01-02T03:04:05.000000+00:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_discarded_tables_are_deleted(spark):
+    table = storage.stored(spark.range(3).toDF("x"), "numbers")
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file://"))
+    assert table.count() == 3 and os.path.isdir(folder)
+    storage.discard(table, spark.range(1), table)
+    storage.discard(table)
+    assert not os.path.exists(folder)
