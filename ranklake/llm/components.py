@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.sources.storage import stored
+from ranklake.sources.storage import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi != lo").distinct(), "edges"
     )
     while not edges.isEmpty():
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        discard(before)
         chained = edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").select("hi")
         forked = edges.groupBy("hi").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hi")
         if chained.unionByName(forked).isEmpty():

@@ -16,6 +16,8 @@ least ``PERCENT`` hundredths.
    first tried against a few pivots, picked anew in each round, and what links is one component.  Then
    every remaining pair of groups in different components is verified, so that no link is missed.
 
+Intermediate tables are deleted, and broadcasts released, as soon as what reads them is stored.
+
 Skew: identical documents are one row from the start, in each task; a shingle that the sketch counts
 above ``HOT_ROWS`` is salted; other joins on hot keys are split by adaptive execution.  Driver: the
 sketch and a bit set, both of fixed size, and counts.
@@ -30,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ranklake.llm.blocks import SPACED, blocks, shingle_sets, words
 from ranklake.llm.components import components
-from ranklake.sources.storage import stored
+from ranklake.sources.storage import discard, stored
 
 SIZE = 5
 PERCENT = 75
@@ -103,14 +106,17 @@ def sketch(source: DataFrame, size: int, bits: int) -> np.ndarray:
     found = stored(source.select("text").mapInArrow(_sketcher(size, bits), schema), "sketch")
     most = found.agg(F.max("part")).first()[0] or 0
     while True:
+        before = found
         found = found.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("block", "part").applyInArrow(_add, schema)
         most //= FAN_IN
         if not most:
             break
         found = stored(found, "sketch")
+        discard(before)
     counts = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS), np.uint32)
     for row in found.collect():
         counts[row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
+    discard(before)
     return counts.ravel()
 
 
@@ -416,7 +422,10 @@ def _verify(spark, source: DataFrame, pairs: DataFrame, size: int, percent: int)
     joined = pairs.join(texts.select(F.col("tid").alias("tid_a"), F.col("text").alias("ta")), "tid_a").join(
         texts.select(F.col("tid").alias("tid_b"), F.col("text").alias("tb")), "tid_b"
     )
-    return stored(joined.select("a", "b", "ta", "tb").mapInArrow(_verifier(size, percent), "a binary, b binary"), "links")
+    links = stored(joined.select("a", "b", "ta", "tb").mapInArrow(_verifier(size, percent), "a binary, b binary"), "links")
+    discard(pairs, texts)
+    wanted.destroy()
+    return links
 
 
 def _prune(percent: int):
@@ -451,6 +460,10 @@ def _sets_of(sets: DataFrame, pairs: DataFrame, every: bool) -> DataFrame:
     return expanded.filter("a < b or gid != pivot" if every else "a != b").select("a", "b", "tid_a", "tid_b", "parts_a", "parts_b")
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def _labels(sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets with their components, and of each group the least and largest."""
     roots = components(links)
@@ -475,22 +488,25 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     entries = source.select("text").mapInArrow(_entries(shared, size, sketch_bits, percent, hot_level), _ENTRIES)
     key = ["token", "salt"]
     lists = stored(entries.repartition(*key).sortWithinPartitions(*key, "gid").mapInArrow(_lists(percent), _LISTS), "lists")
+    shared.destroy()
     near = lists.filter("kind = 0").select(F.col("a").alias("gid"), F.col("b").alias("pivot")).distinct()
     long = lists.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("gid"), "n", "i")
 
     # Members of one group against its first, and groups on long lists against pivots.
     many = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     own = many.select("gid", F.col("gid").alias("pivot"))
-    links, nodes = None, sets.count()
-    open_lists = long
+    links, nodes = [], sets.count()
+    open_lists = labelled = long
     for turn in range(ROUNDS):
         seed = int.from_bytes(_digest(bytes([turn]), 8), "little", signed=True)
         tried = _star_candidates(open_lists.select("token", "gid", "n", "i"), seed, percent)
         pairs = _sets_of(sets, tried.unionByName(own) if turn == 0 else tried, every=False)
         found = _verify(spark, source, pairs, size, percent)
-        links = found if links is None else links.unionByName(found)
-        labelled, groups = _labels(sets, links)
+        links.append(found)
+        done = (open_lists, labelled)
+        labelled, groups = _labels(sets, _union(links))
         open_lists = stored(_unsettled(long, groups), "open_lists")
+        discard(*done)
         if _pair_bound(open_lists) <= nodes:
             break
     split = groups.filter("cmin != cmax").select("gid", F.col("gid").alias("pivot"))
@@ -503,10 +519,13 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         .filter("ca != cb")
     )
     found = _verify(spark, source, rest.drop("ca", "cb"), size, percent)
-    roots = components(links.unionByName(found))
+    links.append(found)
+    discard(lists, open_lists, labelled)
+    roots = components(_union(links))
     final = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     named = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = stored(final.join(named, "root").select("sid", "component_id"), "named")
+    discard(sets, *links)
     return members.join(named, "sid", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
