@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.sources.storage import stored
+from ranklake.sources.storage import discard, stored
 
 SIZE = 3
 BLANK = " \t\r\f\x0b"
@@ -61,7 +61,11 @@ def later_windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: s
         .filter(F.col("c") > 1)
         .select("h1", "h2", "first")
     )
-    return every.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first"))).select("id", "dk", "at")
+    later = every.join(repeated, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first"))).select("id", "dk", "at")
+    # What stays in shared storage is the repeated windows only.
+    later = stored(later, "later_windows")
+    discard(every)
+    return later
 
 
 def dedup_lines(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text") -> DataFrame:
