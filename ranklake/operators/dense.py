@@ -36,7 +36,8 @@ def search(
 
     The queries are measured.  Within ``limit`` they go to every task and the
     vectors are not shuffled; beyond it both sides are divided into blocks of
-    bounded size, and each pair of blocks is one task's work.
+    bounded size, and each pair of blocks is one task's work.  A vector whose
+    length differs from the queries' or that has a null item is an error.
     """
     keys = list(keys)
     vectors = vectors.select("doc_id", "embedding").filter(F.col("embedding").isNotNull())
@@ -65,11 +66,11 @@ def _search_broadcast(vectors, queries, k, keys, schema) -> DataFrame:
         table = shared.value
         if table.num_rows == 0:
             return
-        matrix = _matrix(table.column("embedding"))
+        matrix = _matrix(table.column("embedding"), table.column(keys[0]))
         best = BestPerQuery(table.num_rows, k)
         for batch in batches:
             if batch.num_rows:
-                vectors = _matrix(batch.column("embedding"))
+                vectors = _matrix(batch.column("embedding"), batch.column("doc_id"), matrix.shape[1])
                 _nearest(best, matrix, vectors, id_array(batch.column("doc_id")))
         yield from best.table(table, keys, "score").to_batches()
 
@@ -93,9 +94,13 @@ def _search_blocks(vectors, queries, k, keys, schema, size: Size, limit) -> Data
     def nearest(block: pa.Table, wanted: pa.Table) -> pa.Table:
         best = BestPerQuery(wanted.num_rows, k)
         if wanted.num_rows and block.num_rows:
-            matrix, vectors = (_matrix(t.column("embedding")) for t in (wanted, block))
+            matrix = _matrix(wanted.column("embedding"), wanted.column(keys[0]))
+            vectors = _matrix(block.column("embedding"), block.column("doc_id"), matrix.shape[1])
             _nearest(best, matrix, vectors, id_array(block.column("doc_id")))
-        return best.table(wanted, keys, "score")
+        found = best.table(wanted, keys, "score")
+        # Without any hit the ids have no type of their own.
+        place = found.schema.get_field_index("doc_id")
+        return found.set_column(place, "doc_id", found.column(place).cast(block.schema.field("doc_id").type))
 
     return (
         left.groupBy("q_block", "v_block")
@@ -104,23 +109,48 @@ def _search_blocks(vectors, queries, k, keys, schema, size: Size, limit) -> Data
     )
 
 
-def _matrix(column) -> np.ndarray:
-    """Rows of a list column as a float64 matrix."""
+def _matrix(column, ids, dims: int | None = None) -> np.ndarray:
+    """Rows of a list column as a float64 matrix of ``dims`` columns (default: those of the first row)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(column), -1)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if dims is None:
+        dims = int(lengths[0]) if len(lengths) else 0
+    odd = np.flatnonzero(lengths != dims)
+    if len(odd):
+        raise ValueError(f"vector {ids[int(odd[0])]} has {lengths[odd[0]]} numbers, expected {dims}")
+    numbers = column.flatten()
+    if numbers.null_count:
+        at = int(np.flatnonzero(numbers.is_null().to_numpy(zero_copy_only=False))[0]) // dims
+        raise ValueError(f"vector {ids[at]} has a null item")
+    return numbers.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dims)
 
 
 def _nearest(best: BestPerQuery, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
-    """Offer ``vectors`` to ``best``, some at a time."""
+    """Offer ``vectors`` to ``best``, some at a time.
+
+    The matrix product loses digits where norms are large against distances.  It
+    only picks, with a margin above its error, the pairs whose distance is then
+    taken from the differences.
+    """
+    if best.k <= 0:
+        return
+    dims = queries.shape[1]
     step = max(1, CELLS // max(1, len(queries)))
     square = (queries * queries).sum(axis=1)[:, None]
     for start in range(0, len(vectors), step):
         part = vectors[start : start + step]
-        distance = square + (part * part).sum(axis=1)[None, :] - 2.0 * (queries @ part.T)
-        # Rounding noise below zero would otherwise show up as -0.0.
-        distance = np.round(np.maximum(distance, 0.0), SCORE_DIGITS) + 0.0
+        scale = square + (part * part).sum(axis=1)[None, :]
+        rough = scale - 2.0 * (queries @ part.T)
+        margin = (4 * (dims + 4) * np.finfo(np.float64).eps) * scale + 10.0**-SCORE_DIGITS
+        kth = min(best.k, len(part)) - 1
+        edge = np.partition(rough + margin, kth, axis=1)[:, kth]
+        query, column = np.nonzero(rough - margin <= np.minimum(edge, best.edge)[:, None])
+        distance = np.full(rough.shape, np.inf)
+        block = max(1, CELLS // max(1, dims))
+        for lo in range(0, len(query), block):
+            q, c = query[lo : lo + block], column[lo : lo + block]
+            distance[q, c] = np.round(((queries[q] - part[c]) ** 2).sum(axis=1), SCORE_DIGITS)
         best.add(distance, ids[start : start + step])

@@ -7,12 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranklake.functions.text import rating_note, utc_iso
-from ranklake.operators import expansion, profile
+from ranklake.operators import dense, expansion, profile
 from ranklake.plans.product_table import product_table
-from ranklake.sources import roles
+from ranklake.sources import roles, storage
 from ranklake.sources.schemas import REVIEWS
 from ranklake.streaming.refresh import ProductStore
-from ranklake.sources import storage
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -77,3 +76,15 @@ def test_discarded_tables_are_deleted(spark):
     storage.discard(table, spark.range(1), table)
     storage.discard(table)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 1])
+def test_vectors_of_large_norm_and_of_odd_length(spark, limit):
+    queries = spark.createDataFrame([(1, [1e6, 0.0])], "query_id long, embedding array<double>")
+    near = spark.createDataFrame([(7, [1e6, 2e-3]), (8, [1e6, 1e-3]), (9, [1.0, 1.0])], "doc_id long, embedding array<double>")
+    rows = dense.search(near, queries, 2, limit=limit).orderBy("rank").collect()
+    assert [(r.doc_id, r.score) for r in rows] == [(8, 1e-6), (7, 4e-6)]
+    for bad in ([1.0], [1.0, None]):
+        odd = near.unionByName(spark.createDataFrame([(5, bad)], near.schema))
+        with pytest.raises(Exception, match="vector 5"):
+            dense.search(odd, queries, 2, limit=limit).collect()
