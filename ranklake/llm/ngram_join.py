@@ -13,7 +13,8 @@ least ``PERCENT`` hundredths.
    distinct sets of their members.  Counts of shingles in ``PARTS`` parts of their space bound a pair's
    overlap; what is left is verified on whole texts.
 4. Pairs are not listed within large groups of copies.  Groups that share a shingle with many others are
-   first tried against a few pivots, picked anew in each round, and what links is one component.  Then
+   first tried against a few pivots, picked anew in each round, and what links is one component.  Rounds
+   end when few pairs are left or the last one did not halve them (what is left then mostly does not link).  Then
    every remaining pair of groups in different components is verified, so that no link is missed.
 
 Intermediate tables are deleted, and broadcasts released, as soon as what reads them is stored.
@@ -495,7 +496,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     # Members of one group against its first, and groups on long lists against pivots.
     many = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     own = many.select("gid", F.col("gid").alias("pivot"))
-    links, nodes = [], sets.count()
+    links, nodes, bound = [], sets.count(), float("inf")
     open_lists = labelled = long
     for turn in range(ROUNDS):
         seed = int.from_bytes(_digest(bytes([turn]), 8), "little", signed=True)
@@ -507,7 +508,9 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         labelled, groups = _labels(sets, _union(links))
         open_lists = stored(_unsettled(long, groups), "open_lists")
         discard(*done)
-        if _pair_bound(open_lists) <= nodes:
+        before, bound = bound, _pair_bound(open_lists)
+        # One more round costs as much as so many pairs, and is of use only where groups still merge.
+        if bound <= PIVOTS * nodes or 2 * bound > before:
             break
     split = groups.filter("cmin != cmax").select("gid", F.col("gid").alias("pivot"))
     comp = labelled.select("sid", "comp")
