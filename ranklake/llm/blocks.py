@@ -29,17 +29,29 @@ ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)[LOWER]
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Powers:
+    """Tables of powers that this process has made; the code of a task travels without them."""
+
+    def __init__(self):
+        self.tables: dict[str, np.ndarray] = {}
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2^64; kept, and made longer when a longer text comes."""
-    have = _powers.get(name)
+    have = _powers.tables.get(name)
     if have is None or len(have) < n:
         size = max(n, 2 * BLOCK_BYTES)
         table = np.full(size, base, dtype=np.uint64)
         table[0] = 1
-        have = _powers[name] = np.multiply.accumulate(table)
+        have = _powers.tables[name] = np.multiply.accumulate(table)
     return have[:n]
 
 

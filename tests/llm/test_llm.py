@@ -392,3 +392,13 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     pieces = corpus_pipeline.pack(spark, docs, SF_DIR)
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == {r["doc_id"] for r in rows}
+
+
+def test_tasks_travel_without_tables_of_the_driver():
+    from pyspark import cloudpickle
+
+    for block in B.blocks(pa.array([b"one two three four five six"], pa.binary())):
+        assert len(B.words(block, B.SPACED).hash) == 6
+    raw = cloudpickle.dumps(ngram_join._sketcher(5, 4))
+    assert len(raw) < 200_000
+    cloudpickle.loads(raw)
