@@ -448,17 +448,23 @@ def _prune(percent: int):
     return run
 
 
-def _sets_of(sets: DataFrame, pairs: DataFrame, every: bool) -> DataFrame:
-    """Group pairs as pairs of distinct sets: all of one group with the other's first, or with all."""
-    columns = ["sid", "tid", "parts"]
-    other = sets.select("gid", *columns)
-    if not every:
-        other = sets.groupBy("gid").agg(F.min(F.struct(*columns)).alias("s")).select("gid", *[f"s.{c}" for c in columns])
-    a = sets.select("gid", F.col("sid").alias("a"), F.col("tid").alias("tid_a"), F.col("parts").alias("parts_a"))
-    b = other.select(F.col("gid").alias("pivot"), F.col("sid").alias("b"), F.col("tid").alias("tid_b"), F.col("parts").alias("parts_b"))
-    expanded = pairs.join(a, "gid").join(b, "pivot")
-    # Within a group each pair once.
-    return expanded.filter("a < b or gid != pivot" if every else "a != b").select("a", "b", "tid_a", "tid_b", "parts_a", "parts_b")
+def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Group pairs as pairs of distinct sets: all of one group with the other's first."""
+    first = sets.groupBy("gid").agg(F.min(F.struct("sid", "tid", "parts")).alias("s")).select("gid", "s.*")
+    expanded = pairs.join(_side(sets, "gid", "a"), "gid").join(_side(first, "pivot", "b"), "pivot")
+    return expanded.filter("a != b").select("a", "b", "tid_a", "tid_b", "parts_a", "parts_b")
+
+
+def _sets_apart(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Group pairs as all pairs of sets of different components (``comp``); within a group each once."""
+    a, b = _side(sets, "gid", "a", "comp"), _side(sets, "their", "b", "comp")
+    own = (F.col("gid") != F.col("pivot")) | (F.col("a") < F.col("b"))
+    expanded = pairs.join(a, "gid").join(b, (F.col("pivot") == F.col("their")) & (F.col("comp_a") != F.col("comp_b")) & own)
+    return expanded.select("a", "b", "tid_a", "tid_b", "parts_a", "parts_b")
+
+
+def _side(sets: DataFrame, group: str, name: str, *more: str) -> DataFrame:
+    return sets.select(F.col("gid").alias(group), F.col("sid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("tid", "parts", *more)])
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -501,7 +507,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     for turn in range(ROUNDS):
         seed = int.from_bytes(_digest(bytes([turn]), 8), "little", signed=True)
         tried = _star_candidates(open_lists.select("token", "gid", "n", "i"), seed, percent)
-        pairs = _sets_of(sets, tried.unionByName(own) if turn == 0 else tried, every=False)
+        pairs = _sets_of(sets, tried.unionByName(own) if turn == 0 else tried)
         found = _verify(spark, source, pairs, size, percent)
         links.append(found)
         done = (open_lists, labelled)
@@ -515,13 +521,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     split = groups.filter("cmin != cmax").select("gid", F.col("gid").alias("pivot"))
     comp = labelled.select("sid", "comp")
     remaining = near.unionByName(_remaining_candidates(open_lists, percent)).distinct().unionByName(split)
-    rest = _sets_of(sets, remaining, every=True)
-    rest = (
-        rest.join(comp.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a")
-        .join(comp.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b")
-        .filter("ca != cb")
-    )
-    found = _verify(spark, source, rest.drop("ca", "cb"), size, percent)
+    found = _verify(spark, source, _sets_apart(sets.join(comp, "sid"), remaining), size, percent)
     links.append(found)
     discard(lists, open_lists, labelled)
     roots = components(_union(links))
