@@ -10,7 +10,9 @@ count of a window is combined before its shuffle; joins on a hot window are spli
 execution.
 
 Defined cases: a null text counts as empty and comes back as null; a text with fewer than ``size``
-non-blank lines has no window and stays as it is; rows with the same key (id and text) are one
+non-blank lines has no window and stays as it is, or with ``short`` one window of all its lines, which
+equals only windows of the same lines; repeats of fewer than ``size`` lines between differing neighbours
+stay; rows with the same key (id and text) are one
 document, and each gets the same result; a null id is a key like others and comes last.  Other
 columns pass through.
 """
@@ -36,23 +38,24 @@ def _filled(lines: Column) -> Column:
     return F.filter(trimmed, lambda x: x["t"] != "")
 
 
-def windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text") -> DataFrame:
+def windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """One row per window: id, dk (hash of the text), at (index of its first non-blank line), h1, h2."""
     filled = docs.select(
         F.col(id).alias("id"), F.xxhash64(text).alias("dk"), _filled(_lines(F.col(text))).alias("f")
-    ).filter(F.size("f") >= size)
+    ).filter(F.size("f") >= (1 if short else size))
 
     def hashes(i: Column) -> Column:
+        # Lines beyond the end are null, which hashes pass over.
         ts = [F.get(F.col("f"), i + k)["t"] for k in range(size)]
         return F.struct(i.alias("at"), F.xxhash64(*ts).alias("h1"), F.xxhash64(F.lit(7), *ts[::-1]).alias("h2"))
 
-    spans = F.transform(F.sequence(F.lit(0), F.size("f") - size), hashes)
+    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.size("f") - size, F.lit(0))), hashes)
     return filled.select("id", "dk", F.explode(spans).alias("w")).select("id", "dk", "w.at", "w.h1", "w.h2")
 
 
-def later_windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text") -> DataFrame:
+def later_windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """The windows that occurred before in another place: id, dk, at."""
-    every = stored(windows(docs, size, id, text), "line_windows")
+    every = stored(windows(docs, size, id, text, short), "line_windows")
     # Null ids come last; the least (id, dk, at) of a window is where it stays.
     place = F.struct(F.col("id").isNull().alias("n"), "id", "dk", "at")
     repeated = (
@@ -68,11 +71,11 @@ def later_windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: s
     return later
 
 
-def dedup_lines(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with the repeated lines removed from ``text``, plus ``n_lines`` and ``n_removed``."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = (
-        later_windows(docs, size, id, text)
+        later_windows(docs, size, id, text, short)
         .groupBy("id", "dk")
         .agg(F.collect_set("at").alias("_at"))
         .select(F.col("id").alias("_id"), F.col("dk").alias("_dk"), "_at")
@@ -81,7 +84,7 @@ def dedup_lines(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str
         gone, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_dk")), "left"
     )
     covered = F.array_distinct(
-        F.flatten(F.transform("_at", lambda a: F.sequence(a, a + size - 1)))
+        F.flatten(F.transform("_at", lambda a: F.sequence(a, F.least(a + size, F.size("_f")) - 1)))
     )
     # A removed line takes the blank lines up to the next non-blank line with it.
     filled, n = F.col("_f"), F.size("_l")

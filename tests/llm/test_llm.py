@@ -291,6 +291,14 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_documents_form_one_window(spark):
+    texts = ["p q", " p q\t\n\n", "a\nb", "x\n\ny", "a\n \nb\n", "b", "b\na", "a\nb\nc", "p q\nz", None, "", "\n", "a\nb\nc"]
+    got = [(x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.dedup_lines(docs_of(spark, texts), short=True).orderBy("doc_id").collect()]
+    want = [(t, len((t or "").split("\n")), 0) for t in texts]
+    want[1], want[4], want[12] = ("", 3, 3), ("", 4, 4), ("", 3, 3)
+    assert got == want
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
