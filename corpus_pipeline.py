@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; its result is
 written as Parquet and read again as the next one's documents.  All but the last return the columns of
-documents.  A document without an id is kept by every stage that can't name it.
+documents.  A document without an id is kept by every stage that can't name it; near_duplicates names
+rows by id and text.
 """
 
 from __future__ import annotations
@@ -36,10 +37,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that of the least id, and of repeated rows one."""
-    kept = ngram_join.jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of each component: that of the least id, then hash of the text; of equal (id, text) rows the least."""
+    kept = ngram_join.representatives(docs).select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
+    keyed = docs.withColumn("_own", ngram_join.text_hash(F.col("text")))
+    held = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tid")), "left_semi")
+    # Null ids meet in one group per text only.
+    return held.groupBy("doc_id", "_own").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

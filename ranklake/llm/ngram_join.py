@@ -150,7 +150,12 @@ def _group(prefix: np.ndarray, n: int) -> int:
 
 
 def _text_hash(text: bytes) -> bytes:
-    return _digest(text, 16)
+    return hashlib.sha256(text).digest()[:16]
+
+
+def text_hash(text: Column) -> Column:
+    """The hash of a text by which :func:`representatives` names it."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 _MEMBERS = "doc_id long, n long, sid binary, gid long, tid binary, parts binary"
@@ -177,7 +182,7 @@ def _members(shared, size: int, bits: int, percent: int):
                         gid = _group(_prefix(s, order, bits, percent), len(s))
                         rows.append((ids[b.lo + i], len(s), _digest(s.tobytes(), 16), gid, _text_hash(b.text(i)), _parts(s)))
                     else:
-                        rows.append((ids[b.lo + i], 0, None, None, None, None))
+                        rows.append((ids[b.lo + i], 0, None, None, _text_hash(b.text(i)), None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MEMBER_TYPES)], names=["doc_id", "n", "sid", "gid", "tid", "parts"])
 
     return run
@@ -480,8 +485,13 @@ def _labels(sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return labelled, labelled.groupBy("gid").agg(F.min("comp").alias("cmin"), F.max("comp").alias("cmax"))
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links), per row of ``docs``."""
+def _first_row() -> Column:
+    """The least (doc_id, tid) of an aggregation; rows without an id come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tid")).alias("first")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, sketch_bits: int, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' members, and of each set the first row of its component: sid, first."""
     spark = docs.sparkSession
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     counts = sketch(source, size, sketch_bits)
@@ -490,7 +500,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     hot_level = int(order[counts >= HOT_ROWS].min()) if len(hot) else 99
     shared = spark.sparkContext.broadcast(order)
     members = stored(source.mapInArrow(_members(shared, size, sketch_bits, percent), _MEMBERS), "members")
-    sets = members.filter("n > 0").groupBy("sid", "gid").agg(F.min("tid").alias("tid"), F.first("parts").alias("parts"), F.min("doc_id").alias("doc_id"))
+    sets = members.filter("n > 0").groupBy("sid", "gid").agg(F.min("tid").alias("tid"), F.first("parts").alias("parts"), _first_row())
     sets = stored(sets, "sets")
     entries = source.select("text").mapInArrow(_entries(shared, size, sketch_bits, percent, hot_level), _ENTRIES)
     key = ["token", "salt"]
@@ -525,12 +535,29 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links.append(found)
     discard(lists, open_lists, labelled)
     roots = components(_union(links))
-    final = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
-    named = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = stored(final.join(named, "root").select("sid", "component_id"), "named")
+    final = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
+    named = final.groupBy("root").agg(F.min("first").alias("first"))
+    named = stored(final.select("sid", "root").join(named, "root").select("sid", "first"), "named")
     discard(sets, *links)
+    return members, named
+
+
+def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable by links), per row of ``docs``."""
+    members, named = _grouped(docs, size, percent, sketch_bits, id, text)
     return members.join(named, "sid", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, tid: the row that stands for each component, by its id and the hash of its text.
+
+    It is the one of the least id, then hash; one without an id only where none of the component has
+    one.  A row without words stands for itself.
+    """
+    members, named = _grouped(docs, size, percent, sketch_bits, id, text)
+    alone = members.filter("n = 0").select("doc_id", "tid")
+    return named.select("first.doc_id", "first.tid").unionByName(alone).distinct()

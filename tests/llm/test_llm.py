@@ -199,6 +199,19 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch):
     assert ngram_join.jaccard_components(docs_of(spark, texts).limit(0), sketch_bits=12).count() == 0
 
 
+def test_near_duplicates_tell_texts_of_one_id_apart(spark):
+    x, y, z = prose(60, 31), prose(60, 32), prose(60, 33)
+    near, near_z = x + " end", z + " end"
+    rows = [(3, x), (5, near), (5, y), (5, y), (None, z), (None, near_z), (None, z), (None, x), (None, prose(60, 34)), (6, None), (6, ""), (7, " "), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    first_z = min(z, near_z, key=lambda t: hashlib.sha256(t.encode()).digest())
+    want = [(3, x), (5, y), (None, first_z), (None, prose(60, 34)), (6, None), (7, " "), (None, None)]
+    for parts in (1, 5):
+        got = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), "")
+        assert got.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
