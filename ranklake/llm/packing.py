@@ -13,7 +13,9 @@ depends on its rows and partition number only.
 Tokenisation: the vocabulary's split into words is done with numpy on code points; each distinct word
 is encoded once per worker, behind a bounded cache.  Where the ``tokenizers`` file is a plain byte-level
 BPE, its words are encoded by ``tiktoken`` with the ranks of that same file (5 instead of 18 microseconds
-a word, equal ids); any other file of this word pattern is left to ``tokenizers``.
+a word, equal ids); any other file of this word pattern is left to ``tokenizers``.  Tokens that the file
+adds to its vocabulary (``<|endoftext|>``) are found in raw texts first, the longest of the leftmost, and
+what lies between them is split into words on its own, as ``tokenizers`` does.
 
 Defined cases: a null or empty text is the single id 0; rows with the same doc_id are packed each on
 its own; no rows give no pieces.
@@ -22,6 +24,7 @@ its own; no rows give no pieces.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -211,6 +214,43 @@ class WordEncoder:
         return ids, into[np.searchsorted(starts, offsets)]
 
 
+class TextEncoder:
+    """Token ids of blocks of texts: the file's added tokens, and between them words."""
+
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.words = WordEncoder(path, cache_words)
+        with open(path, encoding="utf-8") as file:
+            added = [t for t in json.load(file).get("added_tokens") or [] if t["content"]]
+        for t in added:
+            if t.get("lstrip") or t.get("rstrip") or t.get("single_word"):
+                raise ValueError(f"{path}: added token {t['content']!r} takes in its surroundings, which is not supported")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.pattern = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
+
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the block's texts, and where each text's begin (one more than texts)."""
+        texts = [block.text(i) for i in range(block.hi - block.lo)]
+        if self.pattern is None or not any(map(self.pattern.search, texts)):
+            return self.words.encode(block)
+        # Pieces between added tokens stand at even places, the tokens at odd ones.
+        parts = [self.pattern.split(t) for t in texts]
+        between = pa.array([p for own in parts for p in own[::2]], pa.binary())
+        encoded = (x for b in blocks(between) for x in self._pieces(b))
+        ids, begin = [], [0]
+        for own in parts:
+            found = []
+            for i, part in enumerate(own):
+                found.append(np.array([self.added[part]], np.uint32) if i % 2 else next(encoded))
+            ids += found
+            begin.append(begin[-1] + sum(map(len, found)))
+        return np.concatenate(ids), np.array(begin, np.int64)
+
+    def _pieces(self, block: Block) -> list[np.ndarray]:
+        ids, at = self.words.encode(block)
+        return [ids[at[i] : at[i + 1]] for i in range(block.hi - block.lo)]
+
+
 class OpenWindows:
     """A fixed number of windows being filled; each is a list of pieces."""
 
@@ -309,13 +349,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FIELDS.types)], schema=_FIELDS)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str) -> TextEncoder:
     """One per worker process, which may serve many tasks."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 

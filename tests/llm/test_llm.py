@@ -361,6 +361,28 @@ def test_packing_keeps_every_token(spark):
     assert packing.pack(docs_of(spark, texts).limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_added_tokens_equal_the_plain_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    end, r = "<|endoftext|>", random.Random(2)
+    parts = [end, end, "<|", "endoftext", "|>", " ", "  ", "\n", "'", "s", "é", "9", "日", "A"]
+    texts = [f"a {end} b", end, end * 3, f" {end}", f"{end}\n", "plain", "", "x" * 3000 + f" {end} 's"]
+    texts += ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(3000)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    encoder, got = packing.TextEncoder(queries.tokenizer_path()), []
+    for b in B.blocks(pa.array([t.encode() for t in texts]), 5_000):
+        ids, at = encoder.encode(b)
+        got += [ids[at[i] : at[i + 1]].tolist() for i in range(b.hi - b.lo)]
+    assert got == want
+    some = texts[:40]
+    for p in packing.pack(docs_of(spark, some), queries.tokenizer_path()).collect():
+        ids = [*want[p["doc_id"]], 0]
+        cut = np.array(ids[p["start"] : p["start"] + p["length"]], "<u4")
+        assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == zlib.crc32(cut.tobytes())
+
+
 # -- 10 ----------------------------------------------------------------------
 
 
