@@ -233,6 +233,25 @@ def test_impure_templates_are_rejected(spark):
     assert {(r["template"], r["verdict"]) for r in got} == {("/spam/<n>", "block"), ("/good/<n>", "allow")}
 
 
+def test_templates_reach_the_whole_path(spark):
+    rows = []
+    for i in range(80):
+        day = f"http://h.com/2024/05/{i % 28}"
+        rows += [(f"{day}/spam/a/{i}", 1 if i < 60 else None), (f"{day}/good/a/{i}", 0 if i < 60 else None)]
+    # Pages that end where others go on, and one page far deeper on another host.
+    rows += [("http://k.com/a/b/c/d", 1)] * 30 + [("http://k.com/a/b/c/d/e", 0)] * 30 + [("http://m.com/" + "/".join("qrstuvwxyz"), 1)] * 9
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "url string, bad int"), rules=(), label="bad").collect()
+    assert len(got) == len(rows)
+    assert {(r["host"], r["template"], r["verdict"]) for r in got} == {
+        ("h.com", "/<n>/<n>/<n>/spam/a/<n>", "block"), ("h.com", "/<n>/<n>/<n>/good/a/<n>", "allow"),
+        ("k.com", "/a/b/c/d", "block"), ("k.com", "/a/b/c/d/e", "allow"),
+        ("m.com", "/q/r/s/t/u/v/w/x/y/z", "block"),
+    }
+    # Depth on one host changes nothing on another.
+    alone = url_filter.judge_urls(spark.createDataFrame(rows[160:220], "url string, bad int"), rules=(), label="bad")
+    assert {r["verdict"] for r in alone.collect()} == {"allow", "block"}
+
+
 # -- 6, 7 --------------------------------------------------------------------
 
 
