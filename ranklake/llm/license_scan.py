@@ -104,10 +104,19 @@ class NoticeFinder:
                 else:
                     spans.append([lo, hi])
             for lo, hi in spans:
-                for m in self.patterns[k].finditer(text, lo, hi):
+                for m in self._occurrences(k, text, lo, hi):
                     hits[(k, m.start())] = (k, m.start(), m.end(), sum(m.fuzzy_counts))
         return sorted(hits.values(), key=lambda h: (h[1], h[2], h[0]))
 
+    def _occurrences(self, k: int, text: str, lo: int, hi: int):
+        """The best match of a span, then those on either side of it, until nothing is left."""
+        rest = [(lo, hi)]
+        while rest:
+            lo, hi = rest.pop()
+            if m := self.patterns[k].search(text, lo, hi):
+                yield m
+                rest += [(a, b) for a, b in ((lo, m.start()), (m.end(), hi)) if a < b]
+
 
 @lru_cache(maxsize=4)
 def _finder(notices, per_edit) -> NoticeFinder:

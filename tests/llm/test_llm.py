@@ -431,6 +431,13 @@ def test_seeds_find_every_notice_within_its_edits():
         assert k in {h[0] for h in finder.verify(whole, finder.seeds_in(whole))}
 
 
+def test_adjacent_notices_are_both_reported():
+    finder = license_scan.NoticeFinder()
+    for text, edits in (("licenced under cc by nc licensed under cc by nc", [1, 0]), ("licensed under cc by nc licenced under cc by nc", [0, 1])):
+        hits = [h for h in finder.verify(text, finder.seeds_in(text)) if finder.notices[h[0]].label == "cc-by-nc"]
+        assert [h[3] for h in hits] == edits and hits[0][2] <= 24 <= hits[1][1] + 1
+
+
 # -- pipeline ----------------------------------------------------------------
 
 
