@@ -4,11 +4,3 @@ Raw reviews and product metadata become one row per product, lexical and
 vector indexes are written as tables, and whole tables of queries are answered
 in batch.  Every operator takes and returns DataFrames.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Batch functions travel to the executors with the job, so that the workers
-# need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
