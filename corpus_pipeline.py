@@ -8,6 +8,9 @@ rows by id and text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +18,23 @@ from ranklake.llm import decontaminate as leaks
 from ranklake.llm import line_dedup as lines
 from ranklake.llm import ngram_join, packing, quality_cnn
 from ranklake.llm.queries import tokenizer_path
+from ranklake.session import ship
 from ranklake.sources.storage import stored
 
 #: Some stages' results can't be expressed in SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
+def _shipped(stage: Callable) -> Callable:
+    """The stage for sessions whose workers may not have this library yet."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return run_stage
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects (a score below one half)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -56,11 +70,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", quality),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("decontaminate", decontaminate),
-    ("pack", pack),
+    ("quality", _shipped(quality)),
+    ("line_dedup", _shipped(line_dedup)),
+    ("near_duplicates", _shipped(near_duplicates)),
+    ("decontaminate", _shipped(decontaminate)),
+    ("pack", _shipped(pack)),
 ]
 
 

@@ -4,7 +4,8 @@ Prefix sums of turn tokens choose the windows.  With ``fresh`` tokens per window
 that lies in one cell of that many tokens joins the cell's window, and a turn that crosses into the
 next cell is a window of its own; so a window depends on prefix sums only and is found for all
 conversations at once, whatever their length.  Each window repeats the conversation's leading system
-turn, then the last turns before it of up to ``history`` tokens in all, then its new turns.  Only new
+turn, then the last turns before it of up to ``history`` tokens in all, then its new turns.  History
+gives way: it takes at most what the system turn and the new turns leave of the budget.  Only new
 assistant turns are under the loss mask; repeated ones are not, so each is a target once.
 
 Turns are sorted by range over all conversations, so a long one is spread over many tasks.  Running
@@ -15,7 +16,8 @@ by ``\\_`` after their first character, backslashes by doubling; ``unescape`` re
 
 Defined cases: null texts and roles are empty; a null turn comes first; ties go by role, then a hash of the text; a
 null conv_id is a conversation; a conversation of only a system turn is one window; a single turn
-above the budget is a window that is flagged; no rows give no windows.
+that exceeds the budget together with the system turn is a window without history that is flagged, and no other is; no
+rows give no windows.
 """
 
 from __future__ import annotations
@@ -122,12 +124,15 @@ def _placed(turns: DataFrame, path: str, budget: int, history: int) -> DataFrame
     )
     joined = rows.join(totals, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p")))
     shifted = F.when(F.col("first") | F.col("lead"), 0).otherwise(F.col("led"))
-    fresh = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(max(1, budget // 4)))
+    # Cells shrink for a long system turn, to a quarter of the budget and then to what it leaves.
+    room = F.lit(budget) - F.col("system")
+    fresh = F.greatest(room - history, F.least(room, F.lit(budget // 4)), F.lit(1))
     placed = joined.select(
         "conv_id", "role", "text", "tokens", "part", "at", "system",
         (F.col("lead") & F.col("first")).alias("lead"),
         (F.col("carry") + F.col("before") + shifted).alias("before"),
         fresh.alias("fresh"),
+        F.greatest(F.least(room, F.lit(history)), F.lit(0)).alias("past"),
     )
     cell = F.expr("before div fresh")
     crosses = F.expr("(before + tokens - 1) div fresh") > cell
@@ -142,20 +147,22 @@ def windows(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HI
     """
     placed = stored(_placed(turns, path, budget, history), "placed")
     new, lead = placed.filter(~F.col("lead")), placed.filter("lead")
-    made = new.groupBy("conv_id", "window").agg(F.min("before").alias("begins"))
+    left = F.lit(budget) - F.max("system") - F.sum("tokens")
+    made = new.groupBy("conv_id", "window").agg(F.min("before").alias("begins"), F.least(left, F.lit(history)).alias("room"))
     alone = lead.join(new.select(F.col("conv_id").alias("_c")), F.col("conv_id").eqNullSafe(F.col("_c")), "left_anti")
-    made = made.unionByName(alone.select("conv_id", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("begins")))
+    none = F.lit(0).cast("long")
+    made = made.unionByName(alone.select("conv_id", none.alias("window"), none.alias("begins"), none.alias("room")))
     content = ["conv_id", "window", "kind", "part", "at", "role", "text", "tokens"]
     fresh = new.withColumn("kind", F.lit(2))
-    # A turn may be history of the few windows that begin within `history` tokens after it began.
-    reach = F.expr(f"2 * ((before + {history}) div fresh) + 1")
+    # A turn may be history of the few windows that begin within `past` tokens after it began: a cell is no shorter.
+    reach = F.expr("2 * ((before + past) div fresh) + 1")
     later = new.select(
         F.col("conv_id").alias("_c"), "part", "at", "role", "text", "tokens", "before", "window", reach.alias("reach")
     ).filter(F.col("reach") > F.col("window"))
     later = later.withColumn("_w", F.explode(F.sequence(F.col("window") + 1, F.col("reach")))).drop("window")
     past = (
         made.join(later, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("window") == F.col("_w")))
-        .filter(F.col("begins") - F.col("before") <= history)
+        .filter(F.col("begins") - F.col("before") <= F.col("room"))
         .withColumn("kind", F.lit(1))
     )
     system = made.join(

@@ -101,7 +101,8 @@ def test_windows_read_back(spark):
         for k, w in enumerate(own):
             read = chat_format.parse(w["text"])
             assert len(read) == w["n_system"] + w["n_history"] + w["n_new"]
-            assert w["n_tokens"] <= 256 or w["over_budget"]
+            assert w["over_budget"] == (w["n_tokens"] > 256)
+            assert not w["over_budget"] or w["n_history"] == 0 and w["n_new"] == 1
             assert w["n_history"] == 0 or k
             turns_read += read[w["n_system"] + w["n_history"] if k else 0 :]
             targets += [chat_format.unescape(w["text"][s["start"] : s["end"]]) for s in w["loss"]]
@@ -112,6 +113,24 @@ def test_windows_read_back(spark):
     assert chat_format.windows(turns.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_history_gives_way(spark):
+    words = lambda n: " ".join(["the"] * n)
+    rows = [(1, i, "user", words(60)) for i in range(6)] + [(1, 6, "assistant", words(890))] + [(1, 7 + i, "user", words(60)) for i in range(6)]
+    for conv, size in ((2, 690), (3, 900), (4, 1015), (5, 2000)):
+        rows += [(conv, 0, "system", words(size))] + [(conv, i, ["user", "assistant"][i % 2], words(20 + 7 * i % 40)) for i in range(1, 60)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat_format.windows(turns, queries.tokenizer_path()).collect()
+    for w in made:
+        assert w["over_budget"] == (w["n_tokens"] > 1024)
+        # Over the budget is only a turn that exceeds it together with the system turn.
+        assert not w["over_budget"] or w["conv_id"] >= 4 and w["n_new"] == 1 and w["n_history"] == 0
+        assert w["conv_id"] != 5 or w["over_budget"]
+    (long,) = [w for w in made if w["conv_id"] == 1 and w["n_tokens"] > 900]
+    assert long["n_new"] == 1 and long["n_history"] == 1
+    assert all(sum(w["n_new"] for w in made if w["conv_id"] == c) == 59 for c in (2, 3, 4, 5))
+    assert any(w["n_history"] for w in made if w["conv_id"] == 2)
+
+
 @needs_tables
 def test_op2_digests(spark):
     got = {r["conv_id"]: r for r in queries.op2_chat_format(spark, SF_DIR).collect()}
