@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, ngram_join, packing, quality_cnn, spotsigs, url_filter
+from ranklake.llm import chat_format, decontaminate, fill_middle, language_id, license_scan, line_dedup, ngram_join, packing, quality_cnn, spotsigs, url_filter
 from ranklake.llm.neighbours import with_next
 
 QUERIES: dict = {}
@@ -235,3 +235,37 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf_dir, "documents"))
     return found.withColumn("spans", F.to_json("spans"))
+
+
+# -- fill in the middle ------------------------------------------------------
+
+
+@register
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' infilling outputs, and of the texts rebuilt from these."""
+    made = fill_middle.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+ORACLES["op11_fill_middle"] = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w,
+    [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS k FROM t
+), c AS (
+  SELECT *, len(w) AS n, least(k[1] % (len(w) + 1), k[2] % (len(w) + 1)) AS a, greatest(k[1] % (len(w) + 1), k[2] % (len(w) + 1)) AS b FROM u
+), p AS (
+  SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS pre, coalesce(array_to_string(w[a + 1:b], ''), '') AS mid,
+    coalesce(array_to_string(w[b + 1:], ''), '') AS suf,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 90 THEN 'plain'
+      WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
