@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import chat_format, decontaminate, fill_middle, language_id, license_scan, line_dedup, ngram_join, packing, quality_cnn, spotsigs, url_filter
+from ranklake.llm import byte_bpe, chat_format, decontaminate, fill_middle, language_id, license_scan, line_dedup, ngram_join, packing, quality_cnn, spotsigs, url_filter
 from ranklake.llm.neighbours import with_next
 
 QUERIES: dict = {}
@@ -269,3 +269,22 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix
   sha256(text) AS restored_sha256
 FROM p
 """
+
+
+# -- byte-level BPE ----------------------------------------------------------
+
+
+@register
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' ids and of the texts decoded from these."""
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(coded.drop("text"), path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_replaced",
+    )
