@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: each applies its operator to the whole table."""
+"""The registered queries of the thirteen operators: each applies its operator to the whole table."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranklake.llm import byte_bpe, chat_format, decontaminate, fill_middle, language_id, license_scan, line_dedup, ngram_join, packing, quality_cnn, spotsigs, url_filter
+from ranklake.llm import byte_bpe, chat_format, decontaminate, fill_middle, language_id, license_scan, line_dedup, ngram_join, packing, prefix_trie, quality_cnn, spotsigs, url_filter
 from ranklake.llm.neighbours import with_next
+from ranklake.sources.storage import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -288,3 +289,54 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         "n_replaced",
     )
+
+
+# -- conversation prefix trie ------------------------------------------------
+
+
+def rebuilt(own: DataFrame) -> DataFrame:
+    """Each conversation with its first h turns taken from the first of its twenty: h = crc32(id) % 4."""
+    h = F.coalesce((F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int"), F.lit(0))
+    none = F.array().cast(prefix_trie.PATH)
+    heads = own.select(F.col("conv_id").alias("_first"), F.slice("path", 1, 3).alias("_head"))
+    joined = own.join(heads, F.col("conv_id") - F.col("conv_id") % 20 == F.col("_first"), "left")
+    head = F.slice(F.coalesce("_head", none), F.lit(1), h)
+    return joined.select("conv_id", F.concat(head, F.slice("path", h + 1, F.size("path"))).alias("path"))
+
+
+@register
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    own = stored(prefix_trie.paths(_table(spark, sf_dir, "conversations")), "own")
+    return prefix_trie.nodes(rebuilt(own))
+
+
+ORACLES["op13_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), k AS (
+  SELECT conv_id, turn, role, sha256(length(role) || ':' || role || text) AS k, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM t
+), own AS (
+  SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, role, k) AS p FROM k GROUP BY conv_id
+), c AS (
+  SELECT *, coalesce(xor(list_reduce(flatten([[ord(x), 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda a, b: xor(xor(a, b) // 2, (xor(a, b) % 2) * 3988292384), CAST(4294967295 AS BIGINT)), 4294967295) % 4, 0) AS h FROM own
+), r AS (
+  SELECT c.conv_id, list_concat(coalesce(f.p, [])[1:h], c.p[h + 1:]) AS p FROM c LEFT JOIN own AS f ON f.conv_id = c.conv_id - c.conv_id % 20
+), m AS (
+  SELECT conv_id, len(p) AS len, unnest([{'d': d, 'path': [array_to_string([x.k FOR x IN p[1:i]], '') FOR i IN range(0, d + 1)], 'w': CASE WHEN d > 0 THEN p[d].w ELSE 0 END}
+    FOR d IN range(0, len(p) + 1)]) AS n FROM r
+), n AS (
+  SELECT n.path AS path, any_value(n.d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n.w) AS own,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n.d = len), '')) AS ends_sha256 FROM m GROUP BY n.path
+), kids AS (
+  SELECT path[1:depth] AS up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+), j AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.up = n.path
+), s AS (
+  SELECT up, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT own, n_children, unnest([path[1:i] FOR i IN range(1, depth + 2)]) AS up FROM j) GROUP BY up
+)
+SELECT j.conv_id, j.depth, f.conv_id AS parent_conv_id, j.n_convs, j.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, j.ends_sha256
+FROM j JOIN s ON s.up = j.path LEFT JOIN n AS f ON j.depth > 0 AND f.path = j.path[1:j.depth]
+"""
