@@ -108,9 +108,6 @@ def join_all_reviews(meta: DataFrame, reviews: DataFrame, hot_rows: int = HOT_RO
     hot = hot_keys(reviews, "parent_asin", hot_rows)
     spread = [c for c in reviews.columns if c != "parent_asin"]
     ordinary, salted = split_hot(reviews, "parent_asin", hot, spread)
-    matched = meta.join(ordinary, "parent_asin").unionByName(
-        replicate_hot(meta, "parent_asin", hot).join(salted, ["parent_asin", "salt"]).drop("salt")
-    )
-    reviewed = reviews.select("parent_asin").distinct()
-    rest = meta.join(reviewed, "parent_asin", "left_anti")
-    return matched.unionByName(rest, allowMissingColumns=True)
+    # Hot products have reviews, so only the others can be without.
+    rest = meta.join(F.broadcast(hot), "parent_asin", "left_anti").join(ordinary, "parent_asin", "left")
+    return rest.unionByName(replicate_hot(meta, "parent_asin", hot).join(salted, ["parent_asin", "salt"]).drop("salt"))

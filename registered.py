@@ -16,7 +16,7 @@ from ranklake.operators.reviews import aggregate_reviews, rank_reviews
 from ranklake.plans.product_table import product_table, run_etl
 from ranklake.plans.search import Corpus, embed_passages, retrieve, search, search_requests
 from ranklake.sources import feedback, roles, tables
-from ranklake.sources.schemas import FEEDBACK, REVIEWS
+from ranklake.sources.schemas import FEEDBACK, PRODUCT_META, REVIEWS
 from ranklake.sources.storage import fresh_path, stored
 from ranklake.streaming.feedback import ingest_feedback
 from ranklake.streaming.refresh import ProductStore
@@ -88,27 +88,49 @@ def etl_product_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def etl_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines in, product table out, read back from Parquet."""
+    """JSON lines in, product table out, read back from Parquet; details are objects in the files."""
     path = fresh_path(spark, "etl")
     roles.reviews(spark, sf_dir).write.json(f"{path}/reviews.jsonl")
-    roles.product_meta(spark, sf_dir).write.json(f"{path}/meta.jsonl")
+    meta = roles.product_meta(spark, sf_dir)
+    meta.withColumn("details", F.from_json("details", "size long")).write.json(f"{path}/meta.jsonl")
     run_etl(spark, f"{path}/reviews.jsonl", f"{path}/meta.jsonl", f"{path}/processed/products")
-    return tables.read_products(spark, f"{path}/processed/products").drop("details")
+    return tables.read_products(spark, f"{path}/processed/products")
+
+
+def _deliveries(spark: SparkSession, sf_dir: str) -> tuple[ProductStore, int]:
+    """All products and reviews, delivered in four parts, and the version after the first two.
+
+    Some products come with the second metadata only, some change by it, and no review comes with either.
+    """
+    path = fresh_path(spark, "refresh")
+    store = ProductStore(f"{path}/store", buckets=8)
+    meta, reviews = roles.product_meta(spark, sf_dir), roles.reviews(spark, sf_dir)
+    changes = F.col("average_rating") > 2.5
+    early = meta.filter("store IS NOT NULL").withColumn("title", F.when(changes, F.concat(F.lit("old "), "title")).otherwise(F.col("title")))
+
+    def deliver(rows: DataFrame, kind: str, schema, refresh) -> None:
+        rows.write.mode("append").json(f"{path}/{kind}")
+        refresh(spark.readStream.schema(schema).json(f"{path}/{kind}"), f"{path}/checkpoint-{kind}").awaitTermination()
+
+    deliver(early, "meta", PRODUCT_META, store.refresh_metadata)
+    deliver(reviews.filter("rating <= 3"), "reviews", REVIEWS, store.refresh_reviews)
+    version = store.version(spark)
+    deliver(meta.filter(F.col("store").isNull() | changes), "meta", PRODUCT_META, store.refresh_metadata)
+    deliver(reviews.filter("rating > 3"), "reviews", REVIEWS, store.refresh_reviews)
+    return store, version
 
 
 @register
 def product_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews that arrive in two deliveries; only touched parts of the table are rebuilt."""
-    path = fresh_path(spark, "refresh")
-    meta = roles.product_meta(spark, sf_dir)
-    store = ProductStore(f"{path}/reviews", f"{path}/products", buckets=8)
-    store.build(meta)
-    reviews = roles.reviews(spark, sf_dir)
-    for delivery in (F.col("rating") <= 3, F.col("rating") > 3):
-        reviews.filter(delivery).write.mode("append").json(f"{path}/incoming")
-        incoming = spark.readStream.schema(REVIEWS).json(f"{path}/incoming")
-        store.refresh(incoming, meta, f"{path}/checkpoint").awaitTermination()
-    return store.products(spark)
+    """The product table after all deliveries: that of a full build."""
+    return _deliveries(spark, sf_dir)[0].products(spark)
+
+
+@register
+def product_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version after the first deliveries, read when two more were published."""
+    store, version = _deliveries(spark, sf_dir)
+    return store.products(spark, version)
 
 
 @register
@@ -131,14 +153,19 @@ def passages_dual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def review_fanout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = roles.product_meta(spark, sf_dir).select("parent_asin", "title")
-    commented = roles.sparse_reviews(spark, sf_dir).filter(F.col("text").isNotNull())
+    """All products and their reviews, with or without a text; suppliers are products that nobody reviewed."""
+    parts = roles.product_meta(spark, sf_dir).select("parent_asin", "title")
+    suppliers = roles.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("parent_asin"), F.col("s_name").alias("title")
+    )
+    reviews = roles.sparse_reviews(spark, sf_dir).withColumn("reviewed", F.lit(True))
     return (
-        join_all_reviews(meta, commented)
+        join_all_reviews(parts.unionByName(suppliers), reviews)
         .groupBy("parent_asin", "title")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.count("text").alias("n_reviews"),
+            F.count("reviewed").alias("n_reviews"),
+            F.count("text").alias("n_texts"),
             F.sum("rating").alias("rating_sum"),
         )
     )

@@ -8,29 +8,11 @@ from pyspark.sql import functions as F
 
 from ranklake.functions.text import rating_note, utc_iso
 from ranklake.operators import dense, expansion, profile
-from ranklake.plans.product_table import product_table
 from ranklake.sources import roles, storage
-from ranklake.sources.schemas import REVIEWS
-from ranklake.streaming.refresh import ProductStore
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
-def test_refresh_keeps_deliveries_of_every_checkpoint_and_takes_in_new_products(spark, tmp_path):
-    meta, reviews = roles.product_meta(spark, SF_DIR), roles.reviews(spark, SF_DIR)
-    store = ProductStore(f"{tmp_path}/reviews", f"{tmp_path}/products", buckets=4)
-    some = meta.filter(F.xxhash64("parent_asin") % 3 != 0)
-    store.build(some)
-    for i, (delivery, known) in enumerate(((F.col("rating") <= 3, some), (F.col("rating") > 3, meta))):
-        reviews.filter(delivery).write.json(f"{tmp_path}/in{i}")
-        incoming = spark.readStream.schema(REVIEWS).json(f"{tmp_path}/in{i}")
-        store.refresh(incoming, known, f"{tmp_path}/checkpoint{i}").awaitTermination()
-    got, want = store.products(spark), product_table(reviews, meta)
-    columns = ["parent_asin", "review_texts", "text_bm25"]
-    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
-
-
 def test_all_later_turns_are_variants(spark, tmp_path):
     rows = [(1, i, "user", f"turn {i}") for i in range(15)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")

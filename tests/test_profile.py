@@ -7,7 +7,6 @@ from ranklake.sources import feedback, roles
 from ranklake.sources.schemas import FEEDBACK
 from ranklake.sources.tables import row_counts
 from ranklake.streaming.feedback import ingest_feedback
-from ranklake.streaming.refresh import ProductStore
 
 
 @pytest.fixture(scope="module")
@@ -103,27 +102,3 @@ def test_feedback_stream_restarts_without_repeating(spark, tmp_path):
     got = spark.read.parquet(path).collect()
     assert [r["feedback"] for r in got] == ["up", "up"]
     assert got[0]["timestamp"] == "2024-01-01T00:00:00.000000+00:00"
-
-
-def test_product_store_refresh(spark, tmp_path):
-    schema = "parent_asin string, text string, rating double, helpful_vote long"
-    names = "parent_asin title main_category average_rating rating_number store price features description categories details".split()
-    meta = spark.createDataFrame(
-        [(f"p{i}", f"T{i}", "c", 4.0, 1, "s", "1", ["f"], ["d"], ["k"], "{}") for i in range(20)],
-        "parent_asin string, title string, main_category string, average_rating double, rating_number long, "
-        "store string, price string, features array<string>, description array<string>, "
-        "categories array<string>, details string")
-    assert meta.columns == names
-    store = ProductStore(str(tmp_path / "reviews"), str(tmp_path / "products"), buckets=4)
-    store.build(meta)
-    assert store.products(spark).count() == 20
-    incoming, checkpoint = str(tmp_path / "in"), str(tmp_path / "check")
-    for delivery in ([("p1", "one", 5.0, 1)], [("p1", "two", 4.0, 9), ("p2", "x", 1.0, None)], [("p9", " ", 1.0, 1)],
-                     [(None, "stray", 1.0, 1)]):
-        spark.createDataFrame(delivery, schema).write.mode("append").json(incoming)
-        stream = spark.readStream.schema(schema).json(incoming)
-        store.refresh(stream, meta, checkpoint).awaitTermination()
-    got = {r["parent_asin"]: r for r in store.products(spark).collect()}
-    assert len(got) == 20
-    assert got["p1"]["review_texts"] == "two one" and got["p1"]["avg_review_rating"] == 4.5
-    assert got["p2"]["review_texts"] == "x" and got["p9"]["review_texts"] == ""
