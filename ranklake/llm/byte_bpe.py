@@ -13,8 +13,9 @@ token's end supplies the rest when the piece ends.  States and moves are made wh
 them and are dropped together at ``MAX_MOVES``, so memory is bounded whatever the texts.  A piece that is a
 token as a whole is that token, merges or not, as in the rank files' library.
 
-Short pieces' outputs are kept in a bounded table.  Texts are split by the vocabulary's pattern; a long
-text's pieces are taken one at a time.
+Short pieces' outputs are kept in a bounded table, found by 64 bits of a hash of their code points and held against 64
+more; pieces that differ in these run by themselves.  Texts are split by the vocabulary's pattern: where it is
+the usual one, blocks of texts are split at once with numpy, else, and in a long text, pieces are taken one at a time.
 
 Decoding runs an incremental UTF-8 machine (states by rule: how many bytes are missing and which range the
 next must lie in) over the tokens' bytes; complete code points come out, up to three bytes are held back.
@@ -42,15 +43,20 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranklake.llm.blocks import Block, blocks, mix
+from ranklake.llm.packing import _BASE, _INVERSE, PATTERN, _power, word_starts
+
 #: Moves kept by a worker, with their states about 700 bytes each; beyond that it starts anew.
 MAX_MOVES = 400_000
-#: Pieces kept by a worker, of at most so many characters each.
-MAX_PIECES, SHORT = 300_000, 24
+#: Pieces kept by a worker, about 50 bytes each; beyond that it starts anew.
+MAX_PIECES = 1_000_000
 #: Longer texts are split piece by piece.
 LONG = 1 << 20
 
 _NEVER = 1 << 62
 _ROOT = 0
+#: Two hashes of a piece differ by these.
+_SALTS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 #: Keys of a state beside the bytes.
 _END, _SELF = -1, -2
 
@@ -62,6 +68,7 @@ class Merges:
         self.ranks = ranks
         self.raw = {rank: raw for raw, rank in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
+        self._made: dict[int, bool] = {}
         self._borders: tuple[dict, dict] = ({}, {})
         self._follows: dict[tuple[int, int], bool] = {}
 
@@ -91,7 +98,10 @@ class Merges:
 
     def made(self, token: int) -> bool:
         """Whether merges make this token out of its bytes."""
-        return len(self.raw[token]) == 1 or self.halves(token) is not None
+        known = self._made.get(token)
+        if known is None:
+            known = self._made[token] = len(self.raw[token]) == 1 or self.halves(token) is not None
+        return known
 
     def _border(self, token: int, side: int) -> list[tuple[bytes, int]]:
         """What stands at an end of a token while it is merged, from its byte on, and the merge that ends it."""
@@ -143,18 +153,20 @@ class Transducer:
     def __init__(self, merges: Merges, max_moves: int = MAX_MOVES):
         self.merges = merges
         self.max_moves = max_moves
-        self._child: dict[int, int] = {}
-        self._token, self._inner = [-1], [False]
+        #: The trie: children by byte (none below a leaf) and token of each node.
+        self._children: list[dict[int, int] | None] = [{}]
+        self._token = [-1]
         for raw, token in merges.ranks.items():
             node = _ROOT
             for byte in raw:
-                key = node << 8 | byte
-                self._inner[node] = True
-                node = self._child.get(key, -1)
+                below = self._children[node]
+                if below is None:
+                    below = self._children[node] = {}
+                node = below.get(byte, -1)
                 if node < 0:
-                    node = self._child[key] = len(self._token)
+                    node = below[byte] = len(self._token)
                     self._token.append(-1)
-                    self._inner.append(False)
+                    self._children.append(None)
             self._token[node] = token
         self._states = {}
         self._reset()
@@ -192,31 +204,35 @@ class Transducer:
 
     def _move(self, state: dict, byte: int) -> tuple[dict, tuple]:
         last, hypotheses = state[_SELF]
+        children, tokens, merges = self._children, self._token, self.merges
         live = []
         for chosen, node in hypotheses:
-            node = self._child.get(node << 8 | byte, -1)
+            below = children[node]
+            node = below.get(byte, -1) if below else -1
             if node < 0:
                 continue
-            token = self._token[node]
-            whole = last == -1 and not chosen
-            if token >= 0 and self.merges.made(token):
-                before = chosen[-1] if chosen else last
-                if whole or self.merges.follows(before, token):
+            token = tokens[node]
+            grows = children[node] is not None
+            if token >= 0:
+                if chosen:
+                    fits = merges.follows(chosen[-1], token)
+                elif last == -1:
+                    fits = grows = True  # the piece so far
+                else:
+                    fits = merges.follows(last, token)
+                if fits and merges.made(token):
                     live.append(((*chosen, token), _ROOT))
-            if self._inner[node] or whole and token >= 0:
+            if grows:
                 live.append((chosen, node))
-        agreed = live[0][0]
-        for chosen, _ in live[1:]:
-            n = 0
-            for a, b in zip(agreed, chosen):
-                if a != b:
-                    break
-                n += 1
-            agreed = agreed[:n]
-        n = len(agreed)
-        if n:
-            live = [(chosen[n:], node) for chosen, node in live]
-            last = agreed[-1]
+        agreed = min((chosen for chosen, _ in live), key=len)
+        for n in range(len(agreed), 0, -1):
+            head = agreed[:n]
+            if all(chosen[:n] == head for chosen, _ in live):
+                live = [(chosen[n:], node) for chosen, node in live]
+                agreed, last = head, head[-1]
+                break
+        else:
+            agreed = ()
         if last >= 0 and all(chosen for chosen, _ in live):
             last = -2  # nothing is compared with it any more
         live.sort()
@@ -245,38 +261,101 @@ class Transducer:
         return tuple(token for group in self.run(piece) for token in group)
 
 
+class PieceTable:
+    """Outputs of pieces met before, by two hashes of 64 bits: sorted by the first, held against the second."""
+
+    def __init__(self):
+        self.keys = self.checks = np.zeros(0, np.uint64)
+        self.place = self.count = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is, and whether it is there."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, outputs: list[tuple[int, ...]]) -> None:
+        count = np.fromiter(map(len, outputs), np.int64, len(outputs))
+        flat = np.fromiter((t for output in outputs for t in output), np.uint32, int(count.sum()))
+        place = len(self.ids) + np.cumsum(count) - count
+        into = np.searchsorted(self.keys, keys)
+        self.ids = np.concatenate((self.ids, flat))
+        self.keys, self.checks = np.insert(self.keys, into, keys), np.insert(self.checks, into, checks)
+        self.place, self.count = np.insert(self.place, into, place), np.insert(self.count, into, count)
+
+
 class Encoder:
     """Texts as ids: each match of ``pattern`` runs through the transducer."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, max_pieces: int = MAX_PIECES):
         self.transducer = Transducer(Merges.read(path))
         self._pattern = regex.compile(pattern)
-        self._pieces: dict[str, tuple[int, ...]] = {}
-
-    def _split(self, text: str) -> Iterable[str]:
-        if len(text) <= LONG:
-            return self._pattern.findall(text)
-        return (match[0] for match in self._pattern.finditer(text))
-
-    def encode_into(self, text: str, out: array) -> None:
-        pieces = self._pieces
-        for piece in self._split(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                if len(piece) > SHORT:
-                    for group in self.transducer.run(piece.encode()):
-                        out.extend(group)
-                    continue
-                if len(pieces) >= MAX_PIECES:
-                    pieces.clear()
-                ids = pieces[piece] = self.transducer.tokens(piece.encode())
-            out.extend(ids)
+        self._at_once = pattern == PATTERN
+        self._max_pieces = max_pieces
+        self._pieces = PieceTable()
 
     def encode(self, text: str) -> list[int]:
+        """Ids of one text, piece by piece."""
         out = array("i")
-        self.encode_into(text, out)
+        matches = self._pattern.findall(text) if len(text) <= LONG else (m[0] for m in self._pattern.finditer(text))
+        for piece in matches:
+            for group in self.transducer.run(piece.encode()):
+                out.extend(group)
         return out.tolist()
 
+    def encode_block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's texts, and where each text's begin (one more than texts)."""
+        texts = [block.text(i).decode("utf-8", "replace") for i in range(block.hi - block.lo)]
+        if not self._at_once or len(texts) == 1 and len(texts[0]) > LONG:
+            ids = [self.encode(t) for t in texts]
+            return np.array([t for own in ids for t in own], np.uint32), np.cumsum([0, *map(len, ids)])
+        whole = "".join(texts)
+        begins = np.cumsum([0, *map(len, texts)])
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(points):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        starts = word_starts(points, begins)
+        ends = np.append(starts[1:], len(points))
+        keys, checks = self._hashes(points, starts, ends)
+        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        at, there = self._pieces.find(distinct)
+        new = np.flatnonzero(~there)
+        if len(new):
+            if len(self._pieces) + len(new) > self._max_pieces:
+                # The table starts anew with the pieces of this block.
+                self._pieces, new = PieceTable(), np.arange(len(distinct))
+            run = self.transducer.tokens
+            outputs = [run(whole[starts[i] : ends[i]].encode()) for i in first[new].tolist()]
+            self._pieces.add(distinct[new], checks[first[new]], outputs)
+            at, _ = self._pieces.find(distinct)
+        table, at = self._pieces, at[which]
+        count, place = table.count[at], table.place[at]
+        into = np.concatenate(([0], np.cumsum(count)))
+        ids = table.ids[np.repeat(place - into[:-1], count) + np.arange(into[-1])]
+        begins = np.searchsorted(starts, begins)
+        odd = np.flatnonzero(table.checks[at] != checks)
+        if len(odd):  # two pieces with one key
+            own = np.split(ids, into[1:-1])
+            for i in odd.tolist():
+                own[i] = np.array(self.transducer.tokens(whole[starts[i] : ends[i]].encode()), np.uint32)
+            ids, into = np.concatenate(own), np.cumsum([0, *map(len, own)])
+        return ids, into[begins]
+
+    def _hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each piece, of its code points and their places in it."""
+        out = []
+        values = points.astype(np.uint64)
+        for salt in _SALTS:
+            sums = np.empty(len(points) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(mix(values + salt) * _power(_BASE, len(points)), out=sums[1:])
+            out.append(mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(points))[starts] + salt))
+        return out[0], out[1]
+
 
 # -- decoding ----------------------------------------------------------------
 
@@ -396,15 +475,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """``docs`` with ids: the tokens of each text, by the ranks in ``path``, which every executor must have."""
 
     def ids_of(texts: pa.Array) -> pa.Array:
-        flat, ends = array("i"), [0]
+        flat, ends, done = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
         with _no_cycles():
             encoder = _encoder(path, pattern)
-            for value in texts:
-                body = value.as_py()
-                if body:
-                    encoder.encode_into(body, flat)
-                ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+            for block in blocks(texts.cast(pa.binary())):
+                ids, begins = encoder.encode_block(block)
+                flat.append(ids)
+                ends.append(begins[1:] + done)
+                done += len(ids)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat).astype(np.int32)))
 
     return _plain(docs, {"ids": F.arrow_udf(ids_of, "array<int>")(F.col(f"`{text}`").cast("string"))})
 

@@ -6,10 +6,12 @@ import os
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from ranklake.llm import byte_bpe, queries
+from ranklake.llm.blocks import blocks
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -103,14 +105,42 @@ def test_equal_to_the_library(encoder, library):
     assert encoder.encode(points) == library.encode_ordinary(points)
 
 
-def test_few_moves_and_long_texts_change_nothing(library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "LONG", 50)
-    monkeypatch.setattr(byte_bpe, "MAX_PIECES", 3)
-    small = byte_bpe.Encoder(PATH, public_tokenizers.PATTERN)
+def block_ids(encoder, texts):
+    """Ids of each text by blocks."""
+    out = []
+    for block in blocks(pa.array([t.encode() for t in texts]), 4000):
+        ids, begins = encoder.encode_block(block)
+        out += [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:])]
+    return out
+
+
+def test_blocks_equal_the_library(library, monkeypatch):
+    r = random.Random(6)
+    parts = ["a", "b", " ", "  ", "\n", "1", "=", "é", "漢", "😀", "the", "ing", "'s", "'LL", "'", "_", " " * 20, "\x1c", "\x85", "　", "Word"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(1500)] + ["", "", "x" * 6000, "a b " * 3000]
+    want = [library.encode_ordinary(t) for t in texts]
+    assert block_ids(byte_bpe.Encoder(PATH, public_tokenizers.PATTERN), texts) == want
+    # A small table, few moves, long texts piece by piece, another pattern's way: the same.
+    small = byte_bpe.Encoder(PATH, public_tokenizers.PATTERN, max_pieces=50)
     small.transducer.max_moves = 7
-    text = "Merging is undone   when moves\n\nrun out; internationalisation1234567 naïve 漢字 " * 5
-    assert small.encode(text) == library.encode_ordinary(text)
+    assert block_ids(small, texts) == want and len(small._pieces) <= 1000
     assert small.transducer.size <= 10
+    monkeypatch.setattr(byte_bpe, "LONG", 50)
+    assert block_ids(byte_bpe.Encoder(PATH, public_tokenizers.PATTERN), texts) == want
+    other = byte_bpe.Encoder(PATH, "(?:" + public_tokenizers.PATTERN + ")")
+    assert not other._at_once and block_ids(other, texts) == want
+
+
+def test_pieces_of_one_key_are_told_apart(library, monkeypatch):
+    hashes = byte_bpe.Encoder._hashes
+
+    def alike(self, points, starts, ends):
+        keys, checks = hashes(self, points, starts, ends)
+        return keys % 5, checks
+
+    monkeypatch.setattr(byte_bpe.Encoder, "_hashes", alike)
+    texts = ["one two three four", "five six", "", "seven eight nine ten eleven twelve"] * 30
+    assert block_ids(byte_bpe.Encoder(PATH, public_tokenizers.PATTERN), texts) == [library.encode_ordinary(t) for t in texts]
 
 
 def test_decoder_holds_back_unfinished_code_points():
