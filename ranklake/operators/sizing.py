@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ranklake.sources.storage import stored
+
 # Largest side that is broadcast, in bytes of payload.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -37,6 +39,14 @@ def measure(df: DataFrame, payload: Column, row_overhead: int = 32) -> Size:
     return Size(row["n"], (row["b"] or 0) + row_overhead * row["n"])
 
 
+def stored_and_measured(df: DataFrame, name: str, payload: Column, row_overhead: int = 32) -> tuple[DataFrame, Size]:
+    """``df`` written to shared storage and read back, with its size as the write itself counted it."""
+    seen = Observation(name)
+    table = stored(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(payload.cast("long")).alias("b")), name)
+    n, b = (seen.get.get(x) or 0 for x in ("n", "b"))
+    return table, Size(n, b + row_overhead * n)
+
+
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows, and into how many ``salts`` to split each.
 

@@ -37,13 +37,15 @@ class Corpus:
 
     ``passages`` has ``doc_id, content`` and metadata, ``vectors`` has ``doc_id,
     embedding``.  ``embed`` turns query texts into vectors; it is not needed for
-    queries that bring an ``embedding`` column.  A missing index is ``None``.
+    queries that bring an ``embedding`` column.  A missing index is ``None``.  With ``pad_words`` the
+    lexical channel always returns as many documents as asked for, the last ones without any query term.
     """
 
     passages: DataFrame
     lexical: lexical.LexicalIndex | None = None
     vectors: DataFrame | None = None
     embed: EmbedFactory | None = None
+    pad_words: bool = False
 
 
 @dataclass(frozen=True)
@@ -171,7 +173,10 @@ def _dense(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _lexical(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
-    return lexical.search(corpus.lexical, queries, k, keys=_KEYS).drop("bm25_score")
+    hits = lexical.search(corpus.lexical, queries, k, keys=_KEYS)
+    if corpus.pad_words:
+        hits = lexical.pad_hits(stored(hits, "word_hits"), queries, corpus.passages, k, _KEYS)
+    return hits.drop("bm25_score")
 
 
 def search_requests(

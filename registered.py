@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -302,6 +304,32 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(hits, "rank")
 
 
+@register
+def bm25_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by thresholds and bounds whatever the number of postings, from an index of several deliveries."""
+    docs, path = roles.passages(spark, sf_dir), fresh_path(spark, "lexical")
+    parts = [F.col("lang") == "en", F.col("lang").isin("de", "fr"), ~F.coalesce(F.col("lang").isin("en", "de", "fr"), F.lit(False))]
+    first, *later = [docs.filter(F.coalesce(p, F.lit(False))) for p in parts]
+    # English texts come in a wrong version first; the last delivery brings the right one and deletes what is no document.
+    stray = docs.select((-F.col("doc_id") - 1).alias("doc_id"), "content")
+    lexical.build_index(first.withColumn("content", F.reverse("content")).select("doc_id", "content").unionByName(stray), path)
+    for delivery in later:
+        lexical.update_index(spark, path, delivery)
+    index = lexical.update_index(spark, path, first, stray.select("doc_id"))
+    return _long(lexical.search(index, roles.queries(spark, sf_dir), TOP_K, open_postings=0), "rank")
+
+
+@register
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term statistics after deliveries of every source, one by one merged, and a second one of all texts in another version."""
+    docs, path = roles.passages(spark, sf_dir), fresh_path(spark, "lexical")
+    lexical.build_index(docs.withColumn("content", F.concat(F.lit("old "), "content")), path)
+    for late in (False, True):
+        rows = docs.filter(F.coalesce(F.length("content") > 2000, F.lit(False)) == late)
+        index = lexical.update_index(spark, path, rows)
+    return lexical.term_stats(index).withColumn("idf", F.round("idf", 9))
+
+
 @register
 def bm25_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product names as queries against the documents: most find fewer than ten."""
@@ -387,6 +415,14 @@ def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(search(corpus, roles.queries(spark, sf_dir), "bm25", TOP_K).hits)
 
 
+@register
+def search_bm25_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of each query: ten documents for each, whether they hold it or not."""
+    corpus = replace(_corpus(spark, sf_dir, vectors=False), pad_words=True)
+    words = roles.queries(spark, sf_dir).withColumn("query", F.regexp_extract("query", "[^ ]+", 0))
+    return _hits(search(corpus, words, "bm25", TOP_K, pool=TOP_K).hits)
+
+
 @register
 def search_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _corpus(spark, sf_dir)
