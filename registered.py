@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ranklake.functions.models import hashing_embedder, token_overlap_scorer
 from ranklake.functions.text import tokenize
-from ranklake.operators import dense, expansion, lexical, passages, present, profile
+from ranklake.operators import dense, dense_lists, expansion, lexical, passages, present, profile
 from ranklake.operators.evaluate import mode_overlap
 from ranklake.operators.fusion import as_list, rrf_fuse
 from ranklake.operators.products import clean_meta, join_all_reviews, merge_reviews, with_texts
@@ -346,6 +346,28 @@ def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(hits, "rank")
 
 
+def _listed(spark: SparkSession, sf_dir: str, probes: int | None) -> DataFrame:
+    """Every fiftieth vector as a query against all vectors, by inverted lists."""
+    vectors = roles.vectors(spark, sf_dir)
+    index = dense_lists.build_lists(vectors, fresh_path(spark, "lists"))
+    queries = vectors.filter(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id")
+    return _long(dense_lists.search(index, queries, TOP_K, probes=probes), "rank")
+
+
+@register
+def dense_lists_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lists probed: the exact answer."""
+    return _listed(spark, sf_dir, dense_lists.MAX_LISTS)
+
+
+@register
+def dense_lists_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether nine of ten of the exact hits are found in the lists that are probed by default."""
+    exact = _listed(spark, sf_dir, dense_lists.MAX_LISTS)
+    measured = dense_lists.recall(_listed(spark, sf_dir, None), exact)
+    return measured.select("n_exact", (F.col("recall") >= 0.9).cast("long").alias("enough"))
+
+
 @register
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedded = embed_passages(roles.passages(spark, sf_dir), hashing_embedder(DIMS))
