@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklake.functions.text import known
-from ranklake.sources.storage import stored
+from ranklake.sources.storage import fresh_path
 
-# Exact quantiles: up to so many distinct values are handled by one aggregate.
-# Beyond, values are divided into ranges: distinct values per range, most ranges.
-_DISTINCT_VALUES = 1_000_000
-_RANGE_SIZE = 100_000
-_MAX_RANGES = 4096
+# Exact quantiles: a bracket with at most so many distinct values is ranked; a sketch brackets a quantile within
+# this share of the values on either side.
+_RANKED_VALUES = 100_000
+_MARGIN = 0.02
 
 
 def _unpivot(df: DataFrame, values: dict[str, Column], value_name: str) -> DataFrame:
@@ -43,83 +44,106 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: dict[str, float],
-    distinct_limit: int = _DISTINCT_VALUES,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per column.
+@dataclass
+class _Bracket:
+    """Where a quantile of a column lies: between two values, with so many values below the first and in between."""
 
-    Values are counted first, so repeated values shrink to one row.  The distinct
-    values that are left are measured: within ``distinct_limit`` the built-in
-    weighted percentile takes them, beyond it they are ranked range by range.
-    """
-    named = [
-        F.struct(F.lit(c).alias("column_name"), known(F.col(c)).cast("double").alias("value"))
-        for c in columns
-    ]
-    values = stored(
-        df.select(F.inline(F.array(*named)))
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "values",
-    )
-    n_distinct = values.count()
-    if n_distinct > distinct_limit:
-        n_ranges = min(_MAX_RANGES, 2 + n_distinct // _RANGE_SIZE)
-        return _quantiles_by_range(values, probabilities, n_ranges)
-    shares = F.array(*[F.lit(p) for p in probabilities.values()])
-    found = values.groupBy("column_name").agg(F.percentile("value", shares, F.col("n")).alias("x"))
-    return found.select("column_name", *[F.col("x")[i].alias(q) for i, q in enumerate(probabilities)])
+    column: str
+    low: int
+    high: int
+    share: float
+    begin: float
+    end: float
+    sketch: bytes
+    distinct: int
+    below: int
+    inside: int
+    margin: float = _MARGIN
 
+    def cuts(self) -> list[float]:
+        """Shares of the values in between that should hold the quantile between them."""
+        first, last = ((rank - self.below) / max(1, self.inside - 1) for rank in (self.low, self.high))
+        return [max(0.0, first - self.margin), min(1.0, last + self.margin)]
 
-def _quantiles_by_range(
-    values: DataFrame, probabilities: dict[str, float], n_ranges: int
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: dict[str, float], ranked_values: int = _RANKED_VALUES
 ) -> DataFrame:
-    """Quantiles of ``column_name, value, n`` by running counts.
+    """Exact quantiles with linear interpolation, one row per column.
 
-    The distinct values are cut into ranges of about equal size; counts run inside
-    each range and are shifted by the total of the ranges below.  No task has to
-    see all values of a column.
+    A quantile sketch of a column gives two values that should lie below and above a quantile.  Counting what is
+    below and between them tells whether they do, and the next sketch is of the values in between only,
+    until few distinct ones are left; these are counted and ranked.  Each pass reads the
+    columns once for all quantiles and shrinks the brackets to a few hundredths.  The driver holds a sketch and
+    some numbers for each quantile.
     """
-    cuts = [i / n_ranges for i in range(1, n_ranges)]
-    ranges = values.groupBy("column_name").agg(
-        F.percentile_approx("value", cuts, F.lit(100 * n_ranges)).alias("cuts"),
-        F.sum("n").alias("total"),
-    )
-    placed = values.join(F.broadcast(ranges), "column_name").withColumn(
-        "range_no", F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    ).drop("cuts")
-    below = Window.partitionBy("column_name").orderBy("range_no").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        placed.groupBy("column_name", "range_no")
-        .agg(F.sum("n").alias("range_total"))
-        .select(
-            "column_name",
-            "range_no",
-            F.coalesce(F.sum("range_total").over(below), F.lit(0)).alias("offset"),
-        )
-    )
-    inside = Window.partitionBy("column_name", "range_no").orderBy("value")
-    # Position after the last copy of the value, counted over the whole column.
-    running = placed.join(F.broadcast(offsets), ["column_name", "range_no"]).withColumn(
-        "upto", F.col("offset") + F.sum("n").over(inside)
-    )
-
-    def at(position: Column) -> Column:
-        return F.min(F.when(F.col("upto") > position, F.col("value")))
-
-    quantiles = []
-    for name, p in probabilities.items():
-        position = (F.col("total") - 1) * F.lit(p)
-        low, high = at(F.floor(position)), at(F.ceil(position))
-        share = F.first(position - F.floor(position))
-        quantiles.append((low + (high - low) * share).alias(name))
-    return running.groupBy("column_name").agg(*quantiles)
+    values = df.select(*[known(F.col(c)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    numbers = {c: F.when(~F.isnan(f"v{i}"), F.col(f"v{i}")) for i, c in enumerate(columns)}
+    brackets = _first_brackets(values, numbers, probabilities)
+    while open_ := [b for b in brackets if b.distinct > ranked_values and b.begin < b.end]:
+        _narrow(values, numbers, open_)
+    return _ranked(values, numbers, columns, probabilities, brackets)
+
+
+def _figures(x: Column) -> Column:
+    return F.struct(
+        F.count(x).alias("n"), F.approx_count_distinct(x).alias("distinct"), F.min(x).alias("begin"), F.max(x).alias("end"),
+        F.kll_sketch_agg_double(x).alias("sketch"),
+    )
+
+
+def _first_brackets(values: DataFrame, numbers: dict[str, Column], probabilities: dict[str, float]) -> list[_Bracket]:
+    row = values.agg(*[_figures(x).alias(f"f{i}") for i, x in enumerate(numbers.values())]).first()
+    brackets = []
+    for column, found in zip(numbers, row):
+        for p in probabilities.values() if found["n"] else ():
+            place = (found["n"] - 1) * p
+            low, high = math.floor(place), math.ceil(place)
+            brackets.append(_Bracket(column, low, high, place - low, found["begin"], found["end"], bytes(found["sketch"]), found["distinct"], 0, found["n"]))
+    return brackets
+
+
+def _narrow(values: DataFrame, numbers: dict[str, Column], brackets: list[_Bracket]) -> None:
+    """One pass: each bracket takes the values its sketch proposes, if they hold the quantile, else proposes wider ones."""
+    spark = values.sparkSession
+    held = spark.createDataFrame([tuple(bytearray(b.sketch) for b in brackets)], ", ".join(f"s{i} binary" for i in range(len(brackets))))
+    proposed = held.select(*[F.kll_sketch_get_quantile_double(f"s{i}", F.array(*map(F.lit, b.cuts()))) for i, b in enumerate(brackets)]).first()
+    aggregates = []
+    for i, (b, (begin, end)) in enumerate(zip(brackets, proposed)):
+        # The ends of a sketch need not be those of the values.
+        begin, end = (b.begin if b.cuts()[0] == 0.0 else begin), (b.end if b.cuts()[1] == 1.0 else end)
+        x = numbers[b.column]
+        aggregates += [F.count_if(x < begin).alias(f"b{i}"), _figures(F.when(x.between(begin, end), x)).alias(f"f{i}")]
+    row = values.agg(*aggregates).first()
+    for i, b in enumerate(brackets):
+        below, found = row[f"b{i}"], row[f"f{i}"]
+        if below <= b.low and b.high < below + found["n"] and (found["n"] < b.inside or found["distinct"] < b.distinct):
+            b.begin, b.end, b.sketch, b.distinct = found["begin"], found["end"], bytes(found["sketch"]), found["distinct"]
+            b.below, b.inside, b.margin = below, found["n"], _MARGIN
+        elif b.margin < 1:
+            b.margin *= 2
+        else:
+            b.distinct = 0  # nothing left to narrow: rank what there is
+
+
+def _ranked(values, numbers, columns, probabilities, brackets: list[_Bracket]) -> DataFrame:
+    """The quantiles, from the values in their brackets, counted before they are ranked."""
+    spark = values.sparkSession
+    rows = [(i, b.column, b.low - b.below, b.high - b.below, b.share) for i, b in enumerate(brackets)]
+    wanted = spark.createDataFrame(rows, "bracket int, column_name string, low long, high long, share double")
+    inside = [F.struct(F.lit(i).alias("bracket"), numbers[b.column].alias("value")) for i, b in enumerate(brackets)]
+    keep = [F.when(numbers[b.column].between(b.begin, b.end), s) for b, s in zip(brackets, inside)]
+    listed = F.array(*keep) if keep else F.array().cast("array<struct<bracket:int,value:double>>")
+    counted = values.select(F.inline(F.filter(listed, lambda s: s.isNotNull()))).groupBy("bracket", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("value"))
+    ranked = counted.withColumn("upto", upto).join(F.broadcast(wanted), "bracket")
+    low, high = (F.min(F.when(F.col("upto") > F.col(rank), F.col("value"))) for rank in ("low", "high"))
+    found = ranked.groupBy("bracket").agg((low + (high - low) * F.first("share")).alias("x"))
+    # A row for every column, also for one without values.
+    every = [(c, n, i * len(probabilities) + k) for i, c in enumerate(dict.fromkeys(b.column for b in brackets)) for k, n in enumerate(probabilities)]
+    named = spark.createDataFrame(every, "column_name string, name string, bracket int").join(found, "bracket")
+    out = spark.createDataFrame([(c,) for c in columns], "column_name string").join(named, "column_name", "left")
+    return out.groupBy("column_name").agg(*[F.max(F.when(F.col("name") == n, F.col("x"))).alias(n) for n in probabilities])
 
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -193,9 +217,51 @@ def from_epoch_millis(column: Column) -> Column:
     return F.timestamp_millis(column)
 
 
+@dataclass(frozen=True)
+class PositionIndex:
+    """A table in a given order, in folders of neighbouring rows, and how many rows each has.
+
+    The order is made total by a hash of the row.
+    """
+
+    rows: DataFrame
+    order: tuple[str, ...]
+    #: Folder and rows before it, in order.
+    offsets: list[tuple[int, int]]
+    total: int
+
+    def at(self, position: int, n: int = 1) -> DataFrame:
+        """``n`` rows from a position; only the folders that hold them are read."""
+        begin, end = max(0, position), min(self.total, max(0, position) + n)
+        after = [offset for _, offset in self.offsets[1:]] + [self.total]
+        parts = [(part, offset) for (part, offset), stop in zip(self.offsets, after) if offset < end and stop > begin]
+        by = Window.partitionBy("_part").orderBy(*self.order, "_tie")
+        place = F.create_map(*[F.lit(x) for pair in parts or [(0, 0)] for x in pair])[F.col("_part")] + F.row_number().over(by) - 1
+        wanted = self.rows.filter(F.col("_part").isin([part for part, _ in parts])).withColumn("_at", place)
+        return wanted.filter(F.col("_at").between(begin, end - 1)).drop("_part", "_tie", "_at")
+
+
+def position_index(df: DataFrame, order: Sequence[str], path: str | None = None, ranges: int | None = None) -> PositionIndex:
+    """Sort ``df`` by range once; then any position is found by the counts of the ranges (as many as Spark sees fit)."""
+    spark = df.sparkSession
+    path = path or fresh_path(spark, "positions")
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    dealt = tied.repartitionByRange(ranges, *order, "_tie") if ranges else tied.repartitionByRange(*order, "_tie")
+    ranged = dealt.withColumn("_part", F.spark_partition_id())
+    ranged.sortWithinPartitions("_part", *order, "_tie").write.mode("overwrite").partitionBy("_part").parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    # One row a range, with the number of its rows from the files' footers.
+    counts = sorted(map(tuple, rows.groupBy("_part").agg(F.count(F.lit(1))).collect()))
+    offsets, total = [], 0
+    for part, n in counts:
+        offsets.append((part, total))
+        total += n
+    return PositionIndex(rows, tuple(order), offsets, total)
+
+
 def row_at(df: DataFrame, order: Sequence[str], position: int, n: int = 1) -> DataFrame:
-    """``n`` rows from a position in a given order."""
-    return df.orderBy(*order).offset(position).limit(n)
+    """``n`` rows from a position in a given order; no task holds more than a range of rows."""
+    return position_index(df, order).at(position, n)
 
 
 def sample_rows(df: DataFrame, key: str, seed: str, n: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ranklake.functions.models import hashing_embedder, token_overlap_scorer
 from ranklake.functions.text import tokenize
-from ranklake.operators import dense, dense_lists, expansion, lexical, passages, present, profile
+from ranklake.operators import dense, dense_lists, expansion, lexical, passages, present, profile, sketches
 from ranklake.operators.evaluate import mode_overlap
 from ranklake.operators.fusion import as_list, rrf_fuse
 from ranklake.operators.products import clean_meta, join_all_reviews, merge_reviews, with_texts
@@ -17,7 +17,8 @@ from ranklake.operators.rerank import rerank
 from ranklake.operators.reviews import aggregate_reviews, rank_reviews
 from ranklake.plans.product_table import product_table, run_etl
 from ranklake.plans.search import Corpus, embed_passages, retrieve, search, search_requests
-from ranklake.sources import feedback, roles, tables
+from ranklake.operators.embedding_cache import EmbeddingCache
+from ranklake.sources import drift, feedback, roles, tables
 from ranklake.sources.schemas import FEEDBACK, PRODUCT_META, REVIEWS
 from ranklake.sources.storage import fresh_path, stored
 from ranklake.streaming.feedback import ingest_feedback
@@ -122,6 +123,32 @@ def _deliveries(spark: SparkSession, sf_dir: str) -> tuple[ProductStore, int]:
     return store, version
 
 
+@register
+def scan_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata files that disagree on the type of price and rating: the rows by the merged schema."""
+    return drift.read_merged(spark, _drifting(spark, sf_dir)).select("parent_asin", "price", "rating_number", "store")
+
+
+@register
+def scan_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which keys those files disagree on."""
+    return drift.conflicts(drift.key_types(spark, _drifting(spark, sf_dir)))
+
+
+def _drifting(spark: SparkSession, sf_dir: str) -> str:
+    """Prices as numbers, as text, or as objects, ratings as whole numbers or with a fraction, by file."""
+    path, meta = fresh_path(spark, "drift"), roles.product_meta(spark, sf_dir).select("parent_asin", "price", "rating_number", "store")
+    number = F.col("price").try_cast("double")
+    size = F.col("rating_number")
+    for name, part, price, rating in (
+        ("numbers", size <= 15, number, size),
+        ("texts", (size > 15) & (size <= 30), F.col("price"), size + 0.5),
+        ("objects", size > 30, F.struct(F.coalesce(number, F.lit(0.0)).alias("amount")), size),
+    ):
+        meta.filter(part).withColumns({"price": price, "rating_number": rating}).write.json(f"{path}/{name}")
+    return f"{path}/*"
+
+
 @register
 def product_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product table after all deliveries: that of a full build."""
@@ -226,6 +253,24 @@ def profile_nunique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.distinct_count(roles.reviews(spark, sf_dir), "parent_asin")
 
 
+@register
+def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two deliveries combined, against the exact figures of all rows: whether they are within the stated errors."""
+    reviews, columns, path = roles.reviews(spark, sf_dir), ["parent_asin", "helpful_vote", "text"], fresh_path(spark, "sketches")
+    for name, part in (("low", "rating <= 3"), ("high", "rating > 3"), ("low", "rating <= 3")):
+        sketches.append(reviews.filter(part), columns, path, name)
+    kept = stored(sketches.combined(spark, path), "kept")
+    out = []
+    for c in columns:
+        own = kept.filter(F.col("column_name") == c)
+        top = sketches.top_values(own, 10).join(profile.top_values(reviews, c, 10**6).select(F.col("value").cast("string"), F.col("n").alias("exact")), "value", "left")
+        right = top.agg(F.coalesce(F.max(F.abs(F.col("n") - F.col("exact")) - F.col("error")), F.lit(0.0)) <= 0)
+        exact = profile.distinct_count(reviews, c).select("n_distinct").scalar()
+        near = sketches.distinct_counts(own).select(F.abs(F.col("n_distinct") - exact) <= F.greatest(F.col("error"), F.lit(1)))
+        out.append(own.select("column_name", "n", right.scalar().alias("counts_right"), near.scalar().alias("distinct_right")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register
 def profile_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roles.reviews(spark, sf_dir).select(
@@ -255,7 +300,9 @@ def sample_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def row_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.row_at(roles.passages(spark, sf_dir), ["doc_id"], 10, 2)
+    """Two rows from behind three quarters of the table."""
+    index = profile.position_index(roles.passages(spark, sf_dir), ["doc_id"])
+    return index.at(3 * index.total // 4, 2)
 
 
 @register
@@ -376,6 +423,26 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def embed_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings after the texts changed: the cache of the first build serves the texts that did not."""
+    docs, cache = roles.passages(spark, sf_dir), EmbeddingCache(fresh_path(spark, "cache"), "hashing-64")
+    cache.embed(docs.withColumn("content", F.when(F.col("lang") == "en", F.concat(F.lit("old "), "content")).otherwise(F.col("content"))), hashing_embedder(DIMS))
+    embedded, _ = cache.embed(docs, hashing_embedder(DIMS))
+    return embedded.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select(
+        "doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 7).alias("value")
+    )
+
+
+@register
+def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that the model saw: in a first build, in a second of the same table, and after a change."""
+    docs, cache = roles.passages(spark, sf_dir), EmbeddingCache(fresh_path(spark, "cache"), "hashing-64")
+    changed = docs.withColumn("content", F.when(F.col("lang") == "en", F.concat(F.lit("new "), "content")).otherwise(F.col("content")))
+    seen = [(name, cache.embed(rows, hashing_embedder(DIMS))[1]) for name, rows in (("first", docs), ("again", docs), ("changed", changed))]
+    return spark.createDataFrame(seen, "build string, n_embedded long")
+
+
 @register
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both indexes written, opened again, and counted."""
@@ -616,15 +683,13 @@ def feedback_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def feedback_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as a stream; the second run finds nothing new."""
+    """The log as a stream; all events are delivered twice, and the last run finds nothing new."""
     path = fresh_path(spark, "feedback")
     events = roles.table(spark, sf_dir, "events")
-    for _ in range(2):
-        source = (
-            spark.readStream.schema(events.schema)
-            .option("pathGlobFilter", "events.parquet")
-            .parquet(sf_dir)
-        )
-        rows = feedback.feedback_rows(roles.as_votes(source), F.col("at"))
-        ingest_feedback(rows, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    for delivered in (True, True, False):
+        if delivered:
+            events.write.mode("append").parquet(f"{path}/events")
+        source = roles.as_votes(spark.readStream.schema(events.schema).parquet(f"{path}/events"))
+        rows = source.withColumnRenamed("title", "event_id").withColumn("title", F.col("event_id"))
+        ingest_feedback(rows, f"{path}/log", f"{path}/checkpoint", event_id="event_id").awaitTermination()
     return spark.read.schema(FEEDBACK).parquet(f"{path}/log")
