@@ -12,6 +12,8 @@ DEFAULT_NUM_VARIANTS = 3
 # Warning texts.
 EMPTY_QUERY = "Empty query."
 EXPANSION_FAILED = "Query expansion failed (No JSON array found in model response); using original query only."
+MALFORMED_ARRAY = "Query expansion failed (Malformed JSON array in model response); using original query only."
+NO_RESPONSE = "Query expansion failed (No model response); using original query only."
 
 # Request text, before and after the query and around the variant count.
 REQUEST_HEAD = "User query:\n"
@@ -37,31 +39,36 @@ def expansion_requests(queries: DataFrame, num_variants: int = DEFAULT_NUM_VARIA
     )
 
 
-def parse_json_array(text: Column) -> Column:
-    """Strings of the JSON array in a model response; NULL where there is none.
+def array_text(text: Column) -> Column:
+    """What should be a JSON array in a model response; NULL where there is none.
 
     The body of the first code fence is used if there is one; in it, the text
-    from the first ``[`` to the last ``]`` must be one valid array.  Blank items
-    are dropped.
+    from the first ``[`` to the last ``]``.
     """
     # What stands between the first two fence marks, without the language named there.
     parts = F.split(text, "```")
     inside = F.get(parts, F.lit(1))
     unnamed = F.when(inside.startswith("json"), F.substr(inside, F.lit(len("json") + 1))).otherwise(inside)
     body = F.when(F.size(parts) > 2, unnamed).otherwise(text)
-    array = F.nullif(F.regexp_extract(body, r"(\[[\s\S]*\])", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(body, r"(\[[\s\S]*\])", 1), F.lit(""))
+
+
+def parse_json_array(text: Column) -> Column:
+    """Strings of the JSON array in a model response; NULL where there is no valid one.  Blank items are dropped."""
     # As a field value, anything after the end of the array is a syntax error.
-    document = F.try_parse_json(F.concat(F.lit('{"items":'), array, F.lit("}")))
+    document = F.try_parse_json(F.concat(F.lit('{"items":'), array_text(text), F.lit("}")))
     items = F.variant_get(document, "$.items", "array<variant>")
     return F.filter(F.transform(items, lambda item: strip(_as_text(item))), lambda t: t != "")
 
 
 def _as_text(item: Column) -> Column:
+    """Whole numbers and texts as written, other numbers with a fraction; objects and lists as JSON."""
     kind = F.schema_of_variant(item)
     text = F.try_variant_get(item, "$", "string")
     return (
         F.when(kind == "VOID", F.lit("None"))
         .when(kind == "BOOLEAN", F.initcap(text))
+        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.try_variant_get(item, "$", "double").cast("string"))
         .otherwise(text)
     )
 
@@ -86,8 +93,8 @@ def expand(
     """Variants and warnings for a table of queries.
 
     ``responses`` holds ``query_id, raw_response``.  A query whose response is
-    missing or unreadable keeps its original text and gets a warning; a blank
-    query gets a warning only.  Of several responses to one query the first in
+    missing or unreadable keeps its original text and gets a warning that tells whether there is
+    none, one without an array, or one whose array is malformed; a blank query gets a warning only.  Of several responses to one query the first in
     the order of their text counts.
     """
     one = responses.groupBy("query_id").agg(F.min("raw_response").alias("raw_response"))
@@ -102,7 +109,9 @@ def expand(
     warnings = joined.select(
         "query_id",
         F.when(is_blank(F.col("query")), F.lit(EMPTY_QUERY))
-        .when(F.col("parsed").isNull(), F.lit(EXPANSION_FAILED))
+        .when(F.col("raw_response").isNull(), F.lit(NO_RESPONSE))
+        .when(array_text(F.col("raw_response")).isNull(), F.lit(EXPANSION_FAILED))
+        .when(F.col("parsed").isNull(), F.lit(MALFORMED_ARRAY))
         .alias("warning"),
     ).filter(F.col("warning").isNotNull())
     return numbered(usable), warnings

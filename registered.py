@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ranklake.functions.models import hashing_embedder, token_overlap_scorer
 from ranklake.functions.text import tokenize
 from ranklake.operators import dense, dense_lists, expansion, lexical, passages, present, profile, sketches
-from ranklake.operators.evaluate import mode_overlap
+from ranklake.operators.evaluate import compare_modes, judged_wins, mode_overlap
 from ranklake.operators.fusion import as_list, rrf_fuse
 from ranklake.operators.products import clean_meta, join_all_reviews, merge_reviews, with_texts
 from ranklake.operators.rerank import rerank
@@ -611,6 +611,15 @@ def expand_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expansion.expand(*roles.conversation_queries(spark, sf_dir))[1]
 
 
+@register
+def expand_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings by cause: by length of the query its response is none, has no array, or a malformed one."""
+    queries = roles.queries(spark, sf_dir)
+    n = F.length("query")
+    raw = F.when(n >= 300, F.concat(F.lit("["), "query", F.lit("]"))).when(n >= 220, F.col("query")).when(n >= 150, F.lit("[]"))
+    return expansion.expand(queries, queries.select("query_id", raw.alias("raw_response")))[1]
+
+
 # -- after retrieval ---------------------------------------------------------
 
 
@@ -668,6 +677,30 @@ def mode_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A difficulty and a winner for each query, by its length."""
+    n = F.length("query")
+    return roles.queries(spark, sf_dir).select(
+        "query_id",
+        F.when(n < 220, "easy").when(n < 300, "medium").otherwise("hard").alias("difficulty"),
+        F.when(n % 2 == 0, "bm25").otherwise("semantic").alias("winner"),
+    )
+
+
+@register
+def modes_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much the two modes agree, per difficulty of the query and judged winner."""
+    compared = compare_modes(mode_overlaps(spark, sf_dir), _judgements(spark, sf_dir))
+    return compared.groupBy("difficulty", "winner").agg(
+        F.count(F.lit(1)).alias("n_queries"), F.sum("n_both").alias("n_both"), F.sum("n_left").alias("n_left")
+    )
+
+
+@register
+def modes_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_wins(_judgements(spark, sf_dir))
+
+
 # -- feedback ----------------------------------------------------------------
 
 

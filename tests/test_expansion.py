@@ -10,6 +10,7 @@ RESPONSES = [
     ('Sure:\n```json\n[" a ", "", "b"]\n```\nmore ["no"]', ["a", "b"]),
     ("```\n[\"x\"]\n```", ["x"]),
     ('text ["a", 1, null, true] tail', ["a", "1", "None", "True"]),
+    ("[1.0, 2.50, 3, -0.5]", ["1.0", "2.5", "3", "-0.5"]),
     ("[]", []),
     ("no array", None),
     ("]x[", None),
@@ -30,15 +31,15 @@ def test_parse_json_array(spark):
 
 def test_expand(spark, rows):
     queries = spark.createDataFrame(
-        [(1, " one "), (2, "two"), (3, "three"), (4, "  "), (5, "five")], "query_id int, query string")
+        [(1, " one "), (2, "two"), (3, "three"), (4, "  "), (5, "five"), (6, "six")], "query_id int, query string")
     responses = spark.createDataFrame(
-        [(1, '["v1", "one", " v1 ", "v2", "v3"]'), (2, "sorry"), (4, '["v"]'), (5, '[" ", "w"]')],
+        [(1, '["v1", "one", " v1 ", "v2", "v3"]'), (2, "sorry"), (4, '["v"]'), (5, '[" ", "w"]'), (6, '["a" "b"]')],
         "query_id int, raw_response string")
     variants, warnings = expansion.expand(queries, responses, 3)
     assert rows(variants) == [
-        (1, 0, "one"), (1, 1, "v1"), (2, 0, "two"), (3, 0, "three"), (5, 0, "five"), (5, 1, "w")]
+        (1, 0, "one"), (1, 1, "v1"), (2, 0, "two"), (3, 0, "three"), (5, 0, "five"), (5, 1, "w"), (6, 0, "six")]
     assert rows(warnings) == [
-        (2, expansion.EXPANSION_FAILED), (3, expansion.EXPANSION_FAILED), (4, "Empty query.")]
+        (2, expansion.EXPANSION_FAILED), (3, expansion.NO_RESPONSE), (4, "Empty query."), (6, expansion.MALFORMED_ARRAY)]
 
 
 def test_requests(spark, rows):
