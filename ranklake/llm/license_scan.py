@@ -3,18 +3,21 @@
 Each notice of ``NOTICES`` is split into one piece more than the errors it may have; by the pigeonhole
 principle a text with a notice in at most that many edits holds at least one piece exactly.  One
 Aho-Corasick pass over the words of a text, joined by single blanks, finds all pieces; around each,
-the ``regex`` library matches the notice with bounded errors and its edits and span are reported.
+the ``regex`` library matches the notice with bounded errors, from the beginning of a word to the end of one, and its
+edits and span are reported.  A window is no longer than a notice, its edits and the words it ends in, so a
+text of many notices takes time in proportion.  Of overlapping matches of one notice that with fewer edits counts.
 
 Everything happens within a row, so nothing is shuffled.  Words are found with numpy on blocks of
 about a megabyte; whole texts are searched.
 
 Defined cases: a null text is empty; an empty text has no words, no labels and the score 0; rows with
-the same id are scanned each.  Other columns pass through ``scan`` untouched.
+the same id are scanned each; no rows give no rows.  Other columns pass through ``scan`` untouched; of equal names the
+result's column stays, and the input's goes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -58,7 +61,7 @@ class Notice:
 
 def notice(text: str, label: str, per_edit: int = PER_EDIT) -> Notice:
     """The seeds are ``edits + 1`` pieces of nearly equal length, with their place in the notice."""
-    edits = min(6, len(text) // per_edit)
+    edits = len(text) // per_edit
     cuts = [len(text) * i // (edits + 1) for i in range(edits + 2)]
     return Notice(text, label, edits, tuple((a, text[a:b]) for a, b in zip(cuts, cuts[1:])))
 
@@ -79,8 +82,9 @@ class NoticeFinder:
         for seed, places in at.items():
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
+        #: By notice, then by the edits allowed.
         self.patterns = [
-            regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.text, special_only=True)}){{e<={n.edits}}}(?![^ ])")
+            [regex.compile(rf"(?:{regex.escape(n.text, special_only=True)}){{e<={e}}}") for e in range(n.edits + 1)]
             for n in self.notices
         ]
 
@@ -90,32 +94,56 @@ class NoticeFinder:
 
     def verify(self, text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) of the occurrences near these seeds, the best of overlapping ones."""
-        hits: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        by_notice: dict[int, list[int]] = {}
+        by_notice: dict[int, set[int]] = {}
         for start, k, place in found:
-            by_notice.setdefault(k, []).append(start - place)
+            by_notice.setdefault(k, set()).add(start - place)
+        hits = []
         for k, begins in by_notice.items():
-            n = self.notices[k]
-            spans: list[list[int]] = []
+            n, matches, first = self.notices[k], [], None
             for b in sorted(begins):
-                lo, hi = max(0, b - n.edits), min(len(text), b + len(n.text) + n.edits)
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], hi)
-                else:
-                    spans.append([lo, hi])
-            for lo, hi in spans:
-                for m in self._occurrences(k, text, lo, hi):
-                    hits[(k, m.start())] = (k, m.start(), m.end(), sum(m.fuzzy_counts))
-        return sorted(hits.values(), key=lambda h: (h[1], h[2], h[0]))
-
-    def _occurrences(self, k: int, text: str, lo: int, hi: int):
-        """The best match of a span, then those on either side of it, until nothing is left."""
-        rest = [(lo, hi)]
-        while rest:
-            lo, hi = rest.pop()
-            if m := self.patterns[k].search(text, lo, hi):
-                yield m
-                rest += [(a, b) for a, b in ((lo, m.start()), (m.end(), hi)) if a < b]
+                if first is not None and b <= first + n.edits:
+                    continue  # seeds of one occurrence: its edits shift them by that much at most
+                first = b
+                if best := self._best(k, text, b, 2 * n.edits):
+                    matches.append(best)
+            hits += [(k, lo, hi, edits) for edits, lo, hi in _apart(matches)]
+        return sorted(hits, key=lambda h: (h[1], h[2], h[0]))
+
+    def _best(self, k: int, text: str, begin: int, shift: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the run of whole words nearest to a notice that begins about here, the longest of equals."""
+        n, best = self.notices[k], None
+        # Runs are matched whole: the library misses edits that stand before a condition on what follows.
+        allowed = n.edits
+        for lo in _word_starts(text, begin - n.edits, begin + shift):
+            for hi in _word_ends(text, lo + len(n.text) - n.edits, lo + len(n.text) + n.edits):
+                while allowed >= 0 and (m := self.patterns[k][allowed].fullmatch(text, lo, hi)):
+                    best = (sum(m.fuzzy_counts), lo, hi)
+                    allowed = best[0] - 1
+        return best
+
+
+def _word_starts(text: str, lo: int, hi: int) -> list[int]:
+    """Where words begin, from lo to hi."""
+    return [i for i in range(max(0, lo), min(len(text) - 1, hi) + 1) if text[i] != " " and (i == 0 or text[i - 1] == " ")]
+
+
+def _word_ends(text: str, lo: int, hi: int) -> list[int]:
+    """Where words end, from the last to the first of lo to hi."""
+    return [i for i in range(min(len(text), hi), max(1, lo) - 1, -1) if text[i - 1] != " " and (i == len(text) or text[i] == " ")]
+
+
+def _apart(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end), those that overlap none of fewer edits."""
+    starts: list[int] = []
+    ends: dict[int, int] = {}
+    kept = []
+    for edits, lo, hi in sorted(set(matches)):
+        at = bisect_left(starts, lo)
+        if (at == len(starts) or hi <= starts[at]) and (at == 0 or ends[starts[at - 1]] <= lo):
+            starts.insert(at, lo)
+            ends[lo] = hi
+            kept.append((edits, lo, hi))
+    return kept
 
 
 @lru_cache(maxsize=4)
@@ -131,8 +159,8 @@ def _phrases():
 
 
 SCAN = (
-    "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
-    "score double, spans array<struct<label:string,first_word:long,n_words:long,edits:int>>"
+    "n_words:long,n_base:long,first_word:long,last_word:long,base_labels:string,labels:string,"
+    "score:double,spans:array<struct<label:string,first_word:long,n_words:long,edits:int>>"
 )
 _SPANS = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int32())]))
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), _SPANS]
@@ -186,17 +214,12 @@ def _overlapping(pattern, piece: bytes):
 
 
 def _scanner(notices, per_edit):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = _finder(notices, per_edit)
-        for batch in batches:
-            own = batch.drop_columns(["_text"])
-            for block in blocks(batch.column("_text")):
-                columns = list(zip(*_scan_block(block, finder)))
-                scanned = [pa.array(c, t) for c, t in zip(columns, _TYPES)]
-                rows = own.slice(block.lo, block.hi - block.lo)
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, *scanned], names=[*own.schema.names, *(x.split()[0] for x in _NAMES)]
-                )
+    def run(texts: pa.Array) -> pa.Array:
+        finder, rows = _finder(notices, per_edit), []
+        for block in blocks(texts):
+            rows += _scan_block(block, finder)
+        columns = list(zip(*rows)) if rows else [()] * len(_NAMES)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], list(_NAMES))
 
     return run
 
@@ -204,7 +227,11 @@ def _scanner(notices, per_edit):
 _NAMES = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")
 
 
-def scan(docs: DataFrame, notices=NOTICES, per_edit: int = PER_EDIT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: id, word count, exact phrases, labels, best likeness of a notice, and its spans."""
-    source = docs.select(F.col(id), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
-    return source.mapInArrow(_scanner(tuple(notices), per_edit), f"{id} {source.schema[id].dataType.simpleString()}, {SCAN}")
+def scan(docs: DataFrame, notices=NOTICES, per_edit: int = PER_EDIT, text: str = "text") -> DataFrame:
+    """``docs`` with word count, places of exact phrases, labels, best likeness of a notice, and its spans."""
+    scanned = F.arrow_udf(_scanner(tuple(notices), per_edit), f"struct<{SCAN}>")
+    found = "found"
+    while found in docs.columns:
+        found += "_"
+    made = docs.withColumn(found, scanned(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in _NAMES], f"{found}.*")
