@@ -10,8 +10,8 @@ count of a window is combined before its shuffle; joins on a hot window are spli
 execution.
 
 Defined cases: a null text counts as empty and comes back as null; a text with fewer than ``size``
-non-blank lines has no window and stays as it is, or with ``short`` one window of all its lines, which
-equals only windows of the same lines; repeats of fewer than ``size`` lines between differing neighbours
+non-blank lines has one window of all its lines, which equals only windows of the same lines (with
+``short=False`` it has none and stays as it is); repeats of fewer than ``size`` lines between differing neighbours
 stay; rows with the same key (id and text) are one
 document, and each gets the same result; a null id is a key like others and comes last.  Other
 columns pass through.
@@ -38,7 +38,7 @@ def _filled(lines: Column) -> Column:
     return F.filter(trimmed, lambda x: x["t"] != "")
 
 
-def windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+def windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = True) -> DataFrame:
     """One row per window: id, dk (hash of the text), at (index of its first non-blank line), h1, h2."""
     filled = docs.select(
         F.col(id).alias("id"), F.xxhash64(text).alias("dk"), _filled(_lines(F.col(text))).alias("f")
@@ -53,7 +53,7 @@ def windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "
     return filled.select("id", "dk", F.explode(spans).alias("w")).select("id", "dk", "w.at", "w.h1", "w.h2")
 
 
-def later_windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+def later_windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = True) -> DataFrame:
     """The windows that occurred before in another place: id, dk, at."""
     every = stored(windows(docs, size, id, text, short), "line_windows")
     # Null ids come last; the least (id, dk, at) of a window is where it stays.
@@ -71,7 +71,7 @@ def later_windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: s
     return later
 
 
-def dedup_lines(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = True) -> DataFrame:
     """``docs`` with the repeated lines removed from ``text``, plus ``n_lines`` and ``n_removed``."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = (

@@ -212,9 +212,12 @@ WITH parts AS (
 ), placed AS (
   SELECT *, count(*) FILTER (t <> '') OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM trimmed
 ), spans AS (
-  SELECT doc_id, k, t AS a, lead(t) OVER o AS b, lead(t, 2) OVER o AS c FROM placed WHERE t <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, k, t AS a, lead(t) OVER o AS b, lead(t, 2) OVER o AS c, count(*) OVER (PARTITION BY doc_id) AS filled
+  FROM placed WHERE t <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
 ), later AS (
-  SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM spans WHERE c IS NOT NULL) WHERE r > 1
+  -- A document of one or two lines is a window of all its lines.
+  SELECT doc_id, k FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, k) AS r FROM spans
+    WHERE c IS NOT NULL OR (filled < 3 AND k = 1)) WHERE r > 1
 ), gone AS (
   SELECT DISTINCT doc_id, k + d AS k, true AS gone FROM later, (VALUES (0), (1), (2)) AS v(d)
 )
@@ -234,8 +237,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(_table(spark, sf_dir, "documents"))
-    return found.withColumn("spans", F.to_json("spans"))
+    found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text").withColumn("spans", F.to_json("spans"))
 
 
 # -- fill in the middle ------------------------------------------------------
