@@ -1,15 +1,16 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Filters of ``WIDTH`` bytes run over every byte position of a text.  Positions are grouped into chunks
-of ``CHUNK``; the windows of neighbouring chunks overlap, so no byte sequence falls between two.  Each
-filter's responses are max-pooled per chunk, rectified, averaged over the chunks of the text, and
-combined by a logistic unit into one probability.
+Filters of ``WIDTH`` bytes run over every byte position of a text.  Chunks of ``CHUNK`` positions begin every
+``STRIDE``, so neighbours share a quarter and together they cover the text.  Each filter's responses are
+max-pooled per chunk, rectified, averaged over the chunks of the text, and combined by a logistic unit into
+one probability.
 
 A filter over one-hot bytes is a table lookup per position of the window, so a text costs ``WIDTH``
 gathers.  The gradient of a max flows to one window per chunk and filter only.
 
 Training sees a bounded sample: at most ``SAMPLE`` labelled rows of each class, by hash order of the
-id, and of each at most ``CHUNKS`` evenly spaced chunks.  Scores cover whole texts, in blocks, without
+id.  Of each text an epoch takes at most ``CHUNKS`` chunks, drawn anew from ``DRAWN`` that are spread over the
+whole text (all of a text of up to 24 KB); so the sample is at most ``2 * SAMPLE * DRAWN * CHUNK`` bytes.  Scores cover whole texts, in blocks, without
 any shuffle.
 
 Defined cases: a null or empty text is scored like a chunk of padding; without labelled rows every
@@ -31,9 +32,11 @@ from ranklake.llm.blocks import Block, blocks
 WIDTH = 6
 FILTERS = 24
 CHUNK = 512
+STRIDE = 384
 SAMPLE = 1500
 CHUNKS = 4
 EPOCHS = 12
+DRAWN = EPOCHS * CHUNKS
 BATCH = 64
 RATE = 0.02
 SEED = 7
@@ -50,20 +53,30 @@ class Model:
     intercept: float
 
 
-def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with WIDTH - 1 zeros after each; the chunks' first positions, each text's first chunk, and
+def _padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts with WIDTH - 1 zeros after each; the chunks' first positions and ends, each text's first chunk, and
     the positions of the zeros between texts."""
-    starts, first, parts, at, gaps = [], [0], [], 0, []
+    starts, ends, first, parts, at, gaps = [], [], [0], [], 0, []
     gap = np.zeros(WIDTH - 1, np.uint8)
     for t in texts:
         body = t if len(t) else np.zeros(1, np.uint8)
-        starts += range(at, at + len(body), CHUNK)
+        # The last chunk begins before the overlap would reach the end.
+        own = range(at, at + max(1, len(body) - (CHUNK - STRIDE)), STRIDE)
+        starts += own
+        ends += [min(s + CHUNK, at + len(body)) for s in own]
         first.append(len(starts))
         parts += [body, gap]
         at += len(body) + WIDTH - 1
         gaps.append(at - WIDTH + 1)
     between = (np.array(gaps[:-1], np.int64)[:, None] + np.arange(WIDTH - 1)).ravel()
-    return np.concatenate(parts), np.array(starts), np.array(first), between
+    return np.concatenate(parts), np.array(starts), np.array(ends), np.array(first), between
+
+
+def _pooled(responses: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each filter's maximum in each chunk; chunks overlap."""
+    cuts = np.stack((starts, ends), axis=1).ravel()
+    whole = responses if cuts[-1] < len(responses) else np.concatenate((responses, np.full((1, responses.shape[1]), -np.inf, responses.dtype)))
+    return np.maximum.reduceat(whole, cuts, axis=0)[::2]
 
 
 def _responses(tables: np.ndarray, data: np.ndarray, between: np.ndarray) -> np.ndarray:
@@ -78,15 +91,15 @@ def _responses(tables: np.ndarray, data: np.ndarray, between: np.ndarray) -> np.
 
 def score_texts(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Probability of label 1 for texts of bytes."""
-    data, starts, first, between = _padded(texts)
-    pooled = np.maximum.reduceat(_responses(model.tables, data, between), starts, axis=0)
+    data, starts, ends, first, between = _padded(texts)
+    pooled = _pooled(_responses(model.tables, data, between), starts, ends)
     pooled = np.maximum(pooled + model.bias, 0)
     mean = np.add.reduceat(pooled, first[:-1], axis=0) / np.diff(first)[:, None]
     return 1 / (1 + np.exp(-np.clip(mean @ model.weights + model.intercept, -30, 30)))
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """Fits by Adam on texts of at most a few chunks each; both classes weigh the same."""
+    """Fits by Adam; an epoch takes a few chunks of each text, drawn anew; both classes weigh the same."""
     rng = np.random.default_rng(seed)
     p = {
         "tables": rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32),
@@ -103,11 +116,10 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), BATCH):
             picked = order[lo : lo + BATCH]
-            data, starts, first, between = _padded([texts[i] for i in picked])
+            data, starts, ends, first, between = _padded([_drawn(texts[i], rng) for i in picked])
             r = _responses(p["tables"], data, between)
-            peak = np.maximum.reduceat(r, starts, axis=0)
+            peak = _pooled(r, starts, ends)
             # Where each chunk's maximum stands.
-            ends = np.append(starts[1:], len(r))
             where = np.stack([r[a:b].argmax(0) + a for a, b in zip(starts, ends)])
             hidden = np.maximum(peak + p["bias"], 0)
             counts = np.diff(first)
@@ -129,18 +141,26 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
     return Model(p["tables"], p["bias"], p["weights"], float(p["intercept"][0]))
 
 
-def _spaced_chunks(text: bytes) -> bytes:
-    """At most CHUNKS chunks of a text, evenly spaced."""
+def _drawn(text: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """CHUNKS chunks of a text, drawn without repetition, in order; a short text whole."""
     n = -(-len(text) // CHUNK)
     if n <= CHUNKS:
         return text
-    return b"".join(text[i * CHUNK : (i + 1) * CHUNK] for i in (k * (n - 1) // (CHUNKS - 1) for k in range(CHUNKS)))
+    return np.concatenate([text[i * CHUNK : (i + 1) * CHUNK] for i in np.sort(rng.choice(n, CHUNKS, replace=False))])
+
+
+def spread_chunks(text: bytes) -> bytes:
+    """At most DRAWN chunks of a text, evenly spread from its beginning to its end."""
+    n = -(-len(text) // CHUNK)
+    if n <= DRAWN:
+        return text
+    return b"".join(text[i * CHUNK : (i + 1) * CHUNK] for i in (k * (n - 1) // (DRAWN - 1) for k in range(DRAWN)))
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in blocks(batch.column("text")):
-            texts = [_spaced_chunks(b.text(i)) for i in range(b.hi - b.lo)]
+            texts = [spread_chunks(b.text(i)) for i in range(b.hi - b.lo)]
             rows = batch.slice(b.lo, b.hi - b.lo)
             yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("order"), pa.array(texts, pa.binary())], names=["label", "order", "text"])
 
