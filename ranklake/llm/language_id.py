@@ -1,8 +1,9 @@
 """Language ID: the language whose dictionary compresses a text best.
 
-For each language a zstandard raw-content dictionary of at most ``DICT_BYTES`` is filled with texts of
-that language, taken from at most ``SAMPLE`` labelled rows by hash order: a bounded sample, so the
-dictionaries are small enough for every task.  A text is brought to lower-case words and cut into
+For each language a zstandard raw-content dictionary is filled by at most ``SAMPLE`` labelled rows, by hash order: a
+bounded sample.  Each row gives an equal share, in pieces of at most ``PIECE`` characters spread over its whole text.  A
+dictionary has ``DICT_BYTES``, or less where there are so many languages that all together would exceed
+``MODEL_BYTES``; so every language has one, and all are small enough for every task.  A text is brought to lower-case words and cut into
 ``CHUNK`` byte pieces, all of it; each piece is compressed with each dictionary, and the language with
 the smallest sum wins.  Where the runner-up is within ``MIN_MARGIN`` of it, the text is rejected.
 
@@ -25,9 +26,9 @@ from ranklake.llm.blocks import ALNUM, blocks, joined_words, words
 
 UNDETERMINED = "und"
 SAMPLE = 60
-LANGUAGES = 256
-SAMPLE_CHARS = 4_000
 DICT_BYTES = 64 * 1024
+MODEL_BYTES = 16 << 20
+PIECE = 128
 CHUNK = 512
 LEVEL = 6
 MIN_MARGIN = 0.01
@@ -44,24 +45,39 @@ def _normalised(texts: list[bytes]) -> list[bytes]:
 def fit(docs: DataFrame, usable: Column, id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary) in order of the sample's rows, from rows that are ``usable``.
 
-    At most ``SAMPLE`` rows of each of at most ``LANGUAGES`` languages reach the driver, and of a long
-    text ``SAMPLE_CHARS`` characters from its middle.
+    At most ``SAMPLE`` rows of a language reach the driver, and of these no more than the dictionary takes.
     """
-    start = F.greatest(F.lit(1), ((F.length(text) - SAMPLE_CHARS) / 2).cast("int"))
     known = docs.filter(usable & F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0)).select(
-        F.col(lang).alias("lang"), F.xxhash64(id, text).alias("order"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("text")
+        F.col(lang).alias("lang"), F.xxhash64(id, text).alias("order"), F.col(text).alias("text")
     )
-    ranked = known.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
-    rows = ranked.filter(F.col("rn") <= SAMPLE).orderBy("rn", "lang").limit(SAMPLE * LANGUAGES).collect()
+    by = Window.partitionBy("lang").orderBy("order", F.xxhash64("text"))
+    ranked = known.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= SAMPLE)
+    languages = known.agg(F.count_distinct("lang")).first()[0]
+    size = max(PIECE, min(DICT_BYTES, MODEL_BYTES // max(1, languages)))
+    rows_of = F.count(F.lit(1)).over(Window.partitionBy("lang"))
+    share = F.floor(F.lit(size) / rows_of).cast("int")
+    rows = ranked.withColumn("share", share).select("lang", "rn", _spread("text", "share").alias("text")).orderBy("rn", "lang").collect()
     by_lang: dict[str, list[bytes]] = {}
     for r in rows:
         by_lang.setdefault(r["lang"], []).append(r["text"].encode())
     made = []
     for name, texts in sorted(by_lang.items(), key=lambda x: (-len(x[1]), x[0])):
-        made.append((name, b" ".join(_normalised(texts))[-DICT_BYTES:]))
+        # A share is counted in bytes with the blank that follows it.
+        own = size // len(texts) - 1
+        made.append((name, b" ".join(t[:own] for t in _normalised(texts))))
     return made
 
 
+def _spread(text: str, share: str) -> Column:
+    """About ``share`` characters of a text, in pieces spread evenly from its beginning to its end."""
+    pieces = F.greatest(F.lit(1), F.ceil(F.col(share) / PIECE)).cast("int")
+    length = F.floor(F.col(share) / pieces).cast("int")
+    last = F.length(text) - length
+    starts = F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: (F.lit(1) + k * last / F.greatest(F.lit(1), pieces - 1)).cast("int"))
+    cut = F.array_join(F.transform(starts, lambda at: F.substring(F.col(text), at, length)), " ")
+    return F.when(F.length(text) <= F.col(share), F.col(text)).otherwise(cut)
+
+
 class Compressors:
     """Compressed sizes of texts under each language's dictionary."""
 
