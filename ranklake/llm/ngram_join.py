@@ -10,12 +10,14 @@ least ``PERCENT`` hundredths.
    share a prefix shingle.  Documents with identical prefix and size are one group.  Only groups are
    indexed by their prefix shingles, once per task; shingles of a single group are dropped.
 3. Group pairs are filtered by size and by the position of a common shingle, then expanded to the
-   distinct sets of their members.  Counts of shingles in ``PARTS`` parts of their space bound a pair's
-   overlap; what is left is verified on whole texts.
+   distinct sets of their members.  Odd sketches bound a pair's difference from below: a bit says whether a part of the
+   shingles' space holds an odd number of the set's, so two sets differ in at least as many shingles as
+   their sketches in bits.  The joins themselves compare the sketches; what is left is verified on whole texts.
 4. Pairs are not listed within large groups of copies.  Groups that share a shingle with many others are
    first tried against a few pivots, picked anew in each round, and what links is one component.  Rounds
    end when few pairs are left or the last one did not halve them (what is left then mostly does not link).  Then
-   every remaining pair of groups in different components is verified, so that no link is missed.
+   every remaining pair of sets in different components is verified, each set's least partner first, so that no link
+   is missed.
 
 Intermediate tables are deleted, and broadcasts released, as soon as what reads them is stored.
 
@@ -43,12 +45,14 @@ from pyspark.sql import functions as F
 
 from ranklake.llm.blocks import SPACED, blocks, shingle_sets, words
 from ranklake.llm.components import components
+from ranklake.llm.names import unused
+from ranklake.operators.sizing import stored_and_measured
 from ranklake.sources.storage import discard, stored
 
 SIZE = 5
 PERCENT = 75
 #: Counters of the sketch; 2 ** 26 (256 MB) suits 100 TB.
-SKETCH_BITS = 22
+SKETCH_BITS = 23
 SKETCH_BLOCKS = 64
 #: Sketches that one task adds up.
 FAN_IN = 128
@@ -59,8 +63,10 @@ LONG_LIST = 64
 #: Pivots a group is tried against in a round, and rounds.
 PIVOTS = 4
 ROUNDS = 4
-#: Parts of the shingles' space whose counts bound an overlap.
-PARTS = 256
+#: Numbers of groups that are broadcast, at most.
+BROADCAST_BYTES = 16 << 20
+#: Bits of a set's odd sketch.
+BITS = 2048
 #: First bits of a text's hash in the bit set of wanted texts.
 WANTED_BITS = 24
 
@@ -158,14 +164,25 @@ def text_hash(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
-_MEMBERS = "doc_id long, n long, sid binary, gid long, tid binary, parts binary"
-_MEMBER_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+_MEMBERS = "doc_id long, n long, sid binary, gid long, tid binary, odd array<long>"
+_MEMBER_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
 
-def _parts(s: np.ndarray) -> bytes:
-    """How many shingles lie in each of PARTS parts of their space; empty where a byte can't hold it."""
-    counts = np.bincount((s & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Of BITS parts of the shingles' space, which hold an odd number of the set's; as long numbers."""
+    counts = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def _sketches(sets: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([odd_sketch(s) for s in sets])
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (BITS // 64), pa.int32()), pa.array(flat))
+
+
+def _near_enough(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of these sketches (null: unknown) and sizes can link."""
+    least = reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(BITS // 64)])
+    return a.isNull() | b.isNull() | (least * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _members(shared, size: int, bits: int, percent: int):
@@ -176,14 +193,15 @@ def _members(shared, size: int, bits: int, percent: int):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for b in blocks(batch.column("text")):
-                rows = []
-                for i, s in enumerate(shingle_sets(words(b, SPACED), size)):
+                rows, sets = [], shingle_sets(words(b, SPACED), size)
+                for i, s in enumerate(sets):
                     if len(s):
                         gid = _group(_prefix(s, order, bits, percent), len(s))
-                        rows.append((ids[b.lo + i], len(s), _digest(s.tobytes(), 16), gid, _text_hash(b.text(i)), _parts(s)))
+                        rows.append((ids[b.lo + i], len(s), _digest(s.tobytes(), 16), gid, _text_hash(b.text(i))))
                     else:
-                        rows.append((ids[b.lo + i], 0, None, None, _text_hash(b.text(i)), None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MEMBER_TYPES)], names=["doc_id", "n", "sid", "gid", "tid", "parts"])
+                        rows.append((ids[b.lo + i], 0, None, None, _text_hash(b.text(i))))
+                made = [pa.array(c, t) for c, t in zip(zip(*rows), _MEMBER_TYPES)]
+                yield pa.RecordBatch.from_arrays([*made, _sketches(sets)], names=["doc_id", "n", "sid", "gid", "tid", "odd"])
 
     return run
 
@@ -332,8 +350,8 @@ def _star_candidates(entries: DataFrame, seed: int, percent: int) -> DataFrame:
 
 
 def _unsettled(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    """Entries of shingles whose groups are not all of one component, with it (null: several)."""
-    labelled = entries.join(groups.select("gid", F.when(F.col("cmin") == F.col("cmax"), F.col("cmin")).alias("comp")), "gid")
+    """Entries of shingles whose groups are not all of one component, with it (null: several) and their groups' sketches."""
+    labelled = entries.join(groups.select("gid", F.when(F.col("cmin") == F.col("cmax"), F.col("cmin")).alias("comp"), "odd"), "gid")
     mixed = (
         labelled.groupBy("token")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.when(F.col("comp").isNull(), 1)).alias("several"))
@@ -354,7 +372,7 @@ def _pair_bound(unsettled: DataFrame) -> int:
 def _remaining_candidates(unsettled: DataFrame, percent: int) -> DataFrame:
     """gid, pivot: pairs of groups of different components that share a shingle and may link."""
     other = unsettled.select(
-        F.col("token").alias("their"), F.col("gid").alias("pivot"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("other")
+        F.col("token").alias("their"), F.col("gid").alias("pivot"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("other"), F.col("odd").alias("their_odd")
     )
     apart = F.col("comp").isNull() | F.col("other").isNull() | (F.col("comp") != F.col("other"))
     return unsettled.join(
@@ -362,7 +380,8 @@ def _remaining_candidates(unsettled: DataFrame, percent: int) -> DataFrame:
         (F.col("token") == F.col("their"))
         & (F.col("gid") < F.col("pivot"))
         & apart
-        & _may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent),
+        & _may_link(F.col("n"), F.col("i"), F.col("m"), F.col("j"), percent)
+        & _near_enough(F.col("odd"), F.col("their_odd"), F.col("n"), F.col("m"), percent),
     ).select("gid", "pivot").distinct()
 
 
@@ -411,7 +430,6 @@ def _verifier(size: int, percent: int):
 
 def _verify(spark, source: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: the pairs of sets that link, by their whole texts.  ``pairs`` is from :func:`_sets_of`."""
-    pairs = pairs.mapInArrow(_prune(percent), "a binary, b binary, tid_a binary, tid_b binary")
     pairs = stored(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
@@ -434,42 +452,43 @@ def _verify(spark, source: DataFrame, pairs: DataFrame, size: int, percent: int)
     return links
 
 
-def _prune(percent: int):
-    """Pairs whose overlap can reach the threshold by the counts of their shingles in each part."""
+_PAIR = ["a", "b", "tid_a", "tid_b"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pa_, pb = batch.column("parts_a").to_pylist(), batch.column("parts_b").to_pylist()
-            known = [k for k, (x, y) in enumerate(zip(pa_, pb)) if x and y]
-            keep = np.ones(len(pa_), bool)
-            if known:
-                x = np.frombuffer(b"".join(pa_[k] for k in known), np.uint8).reshape(-1, PARTS)
-                y = np.frombuffer(b"".join(pb[k] for k in known), np.uint8).reshape(-1, PARTS)
-                most = np.minimum(x, y).sum(1, dtype=np.int64)
-                total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
-                keep[known] = most * (100 + percent) >= total * percent
-            yield batch.select(["a", "b", "tid_a", "tid_b"]).filter(pa.array(keep))
 
-    return run
+def _needed(sets: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of groups that stand in a pair, and the pairs, stored.
+
+    While the groups' numbers measure at most ``BROADCAST_BYTES``, the sets are cut down to them before they move.
+    """
+    pairs, _ = stored_and_measured(pairs, "group_pairs", F.lit(16))
+    named = pairs.select("gid").unionByName(pairs.select(F.col("pivot").alias("gid"))).distinct()
+    gids, size = stored_and_measured(named, "groups", F.lit(8))
+    return sets.join(F.broadcast(gids) if size.fits(BROADCAST_BYTES) else gids, "gid", "left_semi"), pairs
 
 
-def _sets_of(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets_of(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Group pairs as pairs of distinct sets: all of one group with the other's first."""
-    first = sets.groupBy("gid").agg(F.min(F.struct("sid", "tid", "parts")).alias("s")).select("gid", "s.*")
+    sets, pairs = _needed(sets, pairs)
+    first = sets.groupBy("gid").agg(F.min(F.struct("sid", "tid", "odd", "n")).alias("s")).select("gid", "s.*")
     expanded = pairs.join(_side(sets, "gid", "a"), "gid").join(_side(first, "pivot", "b"), "pivot")
-    return expanded.filter("a != b").select("a", "b", "tid_a", "tid_b", "parts_a", "parts_b")
+    return expanded.filter((F.col("a") != F.col("b")) & _sides_near(percent)).select(*_PAIR)
 
 
-def _sets_apart(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Group pairs as all pairs of sets of different components (``comp``); within a group each once."""
+def _sets_apart(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Group pairs as all pairs of sets of different components (``comp``) that can link; within a group each once."""
+    sets, pairs = _needed(sets, pairs)
     a, b = _side(sets, "gid", "a", "comp"), _side(sets, "their", "b", "comp")
     own = (F.col("gid") != F.col("pivot")) | (F.col("a") < F.col("b"))
-    expanded = pairs.join(a, "gid").join(b, (F.col("pivot") == F.col("their")) & (F.col("comp_a") != F.col("comp_b")) & own)
-    return expanded.select("a", "b", "tid_a", "tid_b", "parts_a", "parts_b")
+    apart = (F.col("pivot") == F.col("their")) & (F.col("comp_a") != F.col("comp_b")) & own & _sides_near(percent)
+    return pairs.join(a, "gid").join(b, apart).select(*_PAIR)
 
 
 def _side(sets: DataFrame, group: str, name: str, *more: str) -> DataFrame:
-    return sets.select(F.col("gid").alias(group), F.col("sid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("tid", "parts", *more)])
+    return sets.select(F.col("gid").alias(group), F.col("sid").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("tid", "odd", "n", *more)])
+
+
+def _sides_near(percent: int) -> Column:
+    return _near_enough(F.col("odd_a"), F.col("odd_b"), F.col("n_a"), F.col("n_b"), percent)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -480,9 +499,11 @@ def _labels(sets: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sets with their components, and of each group the least and largest."""
     roots = components(links)
     labelled = stored(
-        sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "gid", F.coalesce("root", "sid").alias("comp")), "labelled"
+        sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "gid", "odd", F.coalesce("root", "sid").alias("comp")), "labelled"
     )
-    return labelled, labelled.groupBy("gid").agg(F.min("comp").alias("cmin"), F.max("comp").alias("cmax"))
+    # Sets of one group differ; a sketch stands for a group of one set only.
+    odd = F.when(F.count(F.lit(1)) == 1, F.first("odd")).alias("odd")
+    return labelled, labelled.groupBy("gid").agg(F.min("comp").alias("cmin"), F.max("comp").alias("cmax"), odd)
 
 
 def _first_row() -> Column:
@@ -500,7 +521,7 @@ def _grouped(docs: DataFrame, size: int, percent: int, sketch_bits: int, id: str
     hot_level = int(order[counts >= HOT_ROWS].min()) if len(hot) else 99
     shared = spark.sparkContext.broadcast(order)
     members = stored(source.mapInArrow(_members(shared, size, sketch_bits, percent), _MEMBERS), "members")
-    sets = members.filter("n > 0").groupBy("sid", "gid").agg(F.min("tid").alias("tid"), F.first("parts").alias("parts"), _first_row())
+    sets = members.filter("n > 0").groupBy("sid", "gid").agg(F.min("tid").alias("tid"), F.first("n").alias("n"), F.first("odd").alias("odd"), _first_row())
     sets = stored(sets, "sets")
     entries = source.select("text").mapInArrow(_entries(shared, size, sketch_bits, percent, hot_level), _ENTRIES)
     key = ["token", "salt"]
@@ -517,7 +538,7 @@ def _grouped(docs: DataFrame, size: int, percent: int, sketch_bits: int, id: str
     for turn in range(ROUNDS):
         seed = int.from_bytes(_digest(bytes([turn]), 8), "little", signed=True)
         tried = _star_candidates(open_lists.select("token", "gid", "n", "i"), seed, percent)
-        pairs = _sets_of(sets, tried.unionByName(own) if turn == 0 else tried)
+        pairs = _sets_of(sets, tried.unionByName(own) if turn == 0 else tried, percent)
         found = _verify(spark, source, pairs, size, percent)
         links.append(found)
         done = (open_lists, labelled)
@@ -531,8 +552,17 @@ def _grouped(docs: DataFrame, size: int, percent: int, sketch_bits: int, id: str
     split = groups.filter("cmin != cmax").select("gid", F.col("gid").alias("pivot"))
     comp = labelled.select("sid", "comp")
     remaining = near.unionByName(_remaining_candidates(open_lists, percent)).distinct().unionByName(split)
-    found = _verify(spark, source, _sets_apart(sets.join(comp, "sid"), remaining), size, percent)
-    links.append(found)
+    apart = stored(_sets_apart(sets.join(comp, "sid"), remaining, percent), "apart")
+    # Of many sets alike each is tried against the least first; what that leaves in different components comes after.
+    either = apart.unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("tid_b").alias("tid_a"), F.col("tid_a").alias("tid_b")))
+    hubs = either.filter("b < a").groupBy("a").agg(F.min(F.struct("b", "tid_a", "tid_b")).alias("h")).select("a", "h.*")
+    links.append(_verify(spark, source, hubs, size, percent))
+    roots = components(_union(links))
+    named = [roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in ("a", "b")]
+    still = apart.join(named[0], "a", "left").join(named[1], "b", "left")
+    still = still.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).join(hubs.select("a", "b"), ["a", "b"], "left_anti").select(*_PAIR)
+    links.append(_verify(spark, source, still, size, percent))
+    discard(apart)
     discard(lists, open_lists, labelled)
     roots = components(_union(links))
     final = sets.join(roots, sets["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
@@ -561,3 +591,13 @@ def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, s
     members, named = _grouped(docs, size, percent, sketch_bits, id, text)
     alone = members.filter("n = 0").select("doc_id", "tid")
     return named.select("first.doc_id", "first.tid").unionByName(alone).distinct()
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``: that of the least id, then hash of the text; of equal (id, text) rows the least."""
+    own, kept_id, kept_text, row = (unused(c, docs.columns) for c in ("_own", "_id", "_tid", "_row"))
+    kept = representatives(docs).select(F.col("doc_id").alias(kept_id), F.col("tid").alias(kept_text))
+    keyed = docs.withColumn(own, text_hash(F.col("text")))
+    held = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_text)), "left_semi")
+    # Null ids meet in one group per text only.
+    return held.groupBy("doc_id", own).agg(F.min(F.struct(*docs.columns)).alias(row)).select(f"{row}.*")
