@@ -40,23 +40,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     model = quality_cnn.fit(docs, labels, usable)
-    return quality_cnn.score(docs, model, keep=tuple(docs.columns)).filter("score >= 0.5").drop("score")
+    return quality_cnn.accepted(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without repeated lines; a document that loses all its text goes."""
-    found = lines.dedup_lines(docs).filter((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\n\r\f\x0b")) != ""))
-    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", changed).select(*docs.columns)
+    return lines.without_repeats(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: that of the least id, then hash of the text; of equal (id, text) rows the least."""
-    kept = ngram_join.representatives(docs).select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
-    keyed = docs.withColumn("_own", ngram_join.text_hash(F.col("text")))
-    held = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tid")), "left_semi")
-    # Null ids meet in one group per text only.
-    return held.groupBy("doc_id", "_own").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    """One row of each component of near copies."""
+    return ngram_join.keep_representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

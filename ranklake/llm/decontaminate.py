@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ranklake.llm.names import unused
 from ranklake.llm.blocks import ALNUM, Words, blocks, chain, words
 
 K1, B = 1.2, 0.75
@@ -342,12 +343,12 @@ def contaminated(
     return best.select("doc_id", "item_id", "b.score", "b.question_overlap", "b.answer_overlap", (-F.col("b.f")).alias("first_word"))
 
 
-def _cleaner(shared, threshold: float):
+def _cleaner(shared, threshold: float, lower: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = shared.value
         for batch in batches:
-            own = batch.drop_columns(["_lower"])
-            for b in blocks(batch.column("_lower")):
+            own = batch.drop_columns([lower])
+            for b in blocks(batch.column(lower)):
                 held = {text for text, *_ in search_block(shard, words(b, ALNUM), threshold)}
                 kept = [i for i in range(b.lo, b.hi) if i - b.lo not in held]
                 if kept:
@@ -358,8 +359,8 @@ def _cleaner(shared, threshold: float):
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents of which :func:`contaminated` reports anything; nothing is shuffled."""
-    spark, schema = docs.sparkSession, docs.schema
+    spark, schema, lower = docs.sparkSession, docs.schema, unused("_lower", docs.columns)
     for shard in _shards(items, None, None, item_id, item_text):
         shared = spark.sparkContext.broadcast(shard)
-        docs = docs.withColumn("_lower", F.lower(text).cast("binary")).mapInArrow(_cleaner(shared, threshold), schema)
+        docs = docs.withColumn(lower, F.lower(text).cast("binary")).mapInArrow(_cleaner(shared, threshold, lower), schema)
     return docs

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranklake.llm.names import unused
 from ranklake.sources.storage import discard, stored
 
 SIZE = 3
@@ -74,20 +75,24 @@ def later_windows(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: s
 def dedup_lines(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str = "text", short: bool = True) -> DataFrame:
     """``docs`` with the repeated lines removed from ``text``, plus ``n_lines`` and ``n_removed``."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = (
+    # Names of its own, beside those of any columns that pass through.
+    key, gone_id, gone_key, at, split, found, gone, keep = (
+        unused(c, docs.columns) for c in ("_key", "_id", "_dk", "_at", "_lines", "_filled", "_gone", "_keep")
+    )
+    later = (
         later_windows(docs, size, id, text, short)
         .groupBy("id", "dk")
-        .agg(F.collect_set("at").alias("_at"))
-        .select(F.col("id").alias("_id"), F.col("dk").alias("_dk"), "_at")
+        .agg(F.collect_set("at").alias(at))
+        .select(F.col("id").alias(gone_id), F.col("dk").alias(gone_key), at)
     )
-    marked = docs.select(*own, F.xxhash64(text).alias("_own")).join(
-        gone, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_dk")), "left"
+    marked = docs.select(*own, F.xxhash64(text).alias(key)).join(
+        later, F.col(id).eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key)), "left"
     )
     covered = F.array_distinct(
-        F.flatten(F.transform("_at", lambda a: F.sequence(a, F.least(a + size, F.size("_f")) - 1)))
+        F.flatten(F.transform(at, lambda a: F.sequence(a, F.least(a + size, F.size(found)) - 1)))
     )
     # A removed line takes the blank lines up to the next non-blank line with it.
-    filled, n = F.col("_f"), F.size("_l")
+    filled, n = F.col(found), F.size(split)
     spans = F.transform(
         covered,
         lambda k: F.sequence(
@@ -95,15 +100,23 @@ def dedup_lines(docs: DataFrame, size: int = SIZE, id: str = "doc_id", text: str
         ),
     )
     lines = (
-        marked.withColumn("_l", _lines(F.col(text)))
-        .withColumn("_f", F.when(F.col("_at").isNotNull(), _filled(F.col("_l"))))
-        .withColumn("_gone", F.flatten(spans))
-        .withColumn("_keep", F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")))
+        marked.withColumn(split, _lines(F.col(text)))
+        .withColumn(found, F.when(F.col(at).isNotNull(), _filled(F.col(split))))
+        .withColumn(gone, F.flatten(spans))
+        .withColumn(keep, F.array_except(F.sequence(F.lit(0), n - 1), F.col(gone)))
     )
-    kept = F.array_join(F.transform("_keep", lambda i: F.get(F.col("_l"), i)), "\n")
+    kept = F.array_join(F.transform(keep, lambda i: F.get(F.col(split), i)), "\n")
     return lines.select(
         *[c for c in own if c != text],
-        F.when(F.col("_at").isNull(), F.col(text)).otherwise(kept).alias(text),
-        F.size("_l").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col(at).isNull(), F.col(text)).otherwise(kept).alias(text),
+        F.size(split).cast("long").alias("n_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     ).select(*own, "n_lines", "n_removed")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` without repeated lines, ``n_chars`` made to fit; a document that loses all its text goes."""
+    plain = docs.select(*[F.col(f"`{c}`").alias(unused(c, ["n_lines", "n_removed"])) for c in docs.columns])
+    found = dedup_lines(plain).filter((F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\n\r\f\x0b")) != ""))
+    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", changed).select(*[F.col(f"`{a}`").alias(b) for a, b in zip(plain.columns, docs.columns)])

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.llm.blocks import Block, blocks
+from ranklake.llm.names import unused
 
 WIDTH = 6
 FILTERS = 24
@@ -189,15 +190,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id: str = "doc_id",
     return train(texts, rows.column("label").to_numpy())
 
 
-def _scorer(model: Model | None):
+def _scorer(model: Model | None, held: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.drop_columns(["_text"])
-            for block in blocks(batch.column("_text"), INFER_BYTES):
+            own = batch.drop_columns([held])
+            for block in blocks(batch.column(held), INFER_BYTES):
                 n = block.hi - block.lo
                 scores = np.full(n, 0.5) if model is None else score_block(model, block)
                 rows = own.slice(block.lo, n)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], names=[*own.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores, pa.float64())], names=[*own.schema.names, name])
 
     return run
 
@@ -206,8 +207,15 @@ def score_block(model: Model, block: Block) -> np.ndarray:
     return score_texts(model, [block.data[a:b] for a, b in zip(block.offsets[:-1], block.offsets[1:])])
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score``, row by row."""
-    source = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score, row by row."""
+    held = unused("_text", [*keep, name])
+    source = docs.select(*keep, F.col(text).cast("binary").alias(held))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(_scorer(model), f"{fields}, score double")
+    return source.mapInArrow(_scorer(model, held, name), f"{fields}, `{name}` double")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` without the documents that score below one half."""
+    name = unused("score", docs.columns)
+    return score(docs, model, keep=tuple(docs.columns), name=name).filter(F.col(name) >= 0.5).drop(name)

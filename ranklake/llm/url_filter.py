@@ -34,6 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranklake.llm.names import unused
 from ranklake.sources.storage import discard, stored
 
 #: Levels that every path has at least.
@@ -207,12 +208,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url"
     bad = F.when(ruled == "block", 1).when(ruled == "allow", 0)
     if label:
         bad = F.coalesce(bad, F.col(label).cast("int"))
-    shaped = parsed.withColumn("_shape", shapes(F.col("path")))
-    tree = template_tree(shaped.select("host", F.col("_shape").alias("shape"), bad.alias("bad")))
-    tree = tree.select(F.col("host").alias("_host"), F.col("shape").alias("_tshape"), "template", "purity")
-    return shaped.join(
-        tree, (F.col("host") == F.col("_host")) & (F.col("_shape") == F.col("_tshape")), "left"
-    ).select(
+    shape, tree_host, tree_shape = (unused(c, parsed.columns) for c in ("_shape", "_host", "_tshape"))
+    shaped = parsed.withColumn(shape, shapes(F.col("path")))
+    tree = template_tree(shaped.select("host", F.col(shape).alias("shape"), bad.alias("bad")))
+    tree = tree.select(F.col("host").alias(tree_host), F.col("shape").alias(tree_shape), "template", "purity")
+    return shaped.join(tree, (F.col("host") == F.col(tree_host)) & (F.col(shape) == F.col(tree_shape)), "left").select(
         *own, "host", "path", "rule", "template", "purity",
         F.coalesce(ruled, F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"),
     )

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -202,6 +203,35 @@ def brute_components(texts):
     return [(i, len(s), r) for i, (s, r) in enumerate(zip(sets, root))]
 
 
+def test_odd_sketches_bound_the_difference():
+    r = random.Random(12)
+    for _ in range(60):
+        x = np.unique(np.array([r.getrandbits(64) for _ in range(r.randint(1, 9000))], np.uint64))
+        y = np.unique(np.concatenate((x[r.randint(0, len(x)) :], np.array([r.getrandbits(64) for _ in range(r.randint(0, 900))], np.uint64))))
+        a, b = ngram_join._sketches([x, y]).to_pylist()
+        bits = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(a, b))
+        assert 0 <= bits <= len(np.setxor1d(x, y)) and len(a) == ngram_join.BITS // 64
+
+
+def test_a_passage_that_many_unlike_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 8)
+    shared = prose(12, 99)
+    texts = [f"{prose(25, i)} {shared} {prose(25, 1000 + i)}" for i in range(260)]
+    texts += [t + " more" for t in texts[:20]] + [texts[3], texts[4].upper()]
+    emitted = []
+    prune = ngram_join._sets_apart
+
+    def counted(sets, pairs, percent):
+        made = prune(sets, pairs, percent)
+        emitted.append(made.count())
+        return made
+
+    monkeypatch.setattr(ngram_join, "_sets_apart", counted)
+    got = [tuple(x) for x in ngram_join.jaccard_components(docs_of(spark, texts), sketch_bits=12).orderBy("doc_id").collect()]
+    assert got == brute_components(texts)
+    assert sum(emitted) < 200  # of 33,000 pairs that share the passage
+
+
 def test_ngram_join_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LONG_LIST", 4)
     r = random.Random(8)
@@ -281,7 +311,7 @@ def test_quality_held_out():
     sf = SF_DIR.replace("sf0.001", "sf0.01")
     both = pq.read_table(f"{sf}/documents.parquet").to_pandas().merge(pq.read_table(f"{sf}/labels.parquet").to_pandas(), on="doc_id")
     held = np.array([zlib.crc32(str(x).encode()) % 3 == 1 for x in both.doc_id])
-    raw = [np.frombuffer(quality_cnn._spaced_chunks(t.encode()), np.uint8) for t in both.text[~held]]
+    raw = [np.frombuffer(quality_cnn.spread_chunks(t.encode()), np.uint8) for t in both.text[~held]]
     model = quality_cnn.train(raw, both.quality[~held].to_numpy(), epochs=6)
     scores = quality_cnn.score_texts(model, [np.frombuffer(t.encode(), np.uint8) for t in both.text[held]])
     assert ((scores >= 0.5) == both.quality[held]).mean() > 0.93
@@ -290,6 +320,32 @@ def test_quality_held_out():
     assert abs(one[0] - scores[0]) < 1e-5
 
 
+def test_quality_scores_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    model = quality_cnn.train([rng.integers(32, 120, n).astype(np.uint8) for n in (40, 900, 3000, 0)], np.array([0, 1, 0, 1]), epochs=1)
+    texts = [rng.integers(0, 256, n).astype(np.uint8) for n in (0, 1, 5, 383, 384, 512, 513, 896, 897, 2500)]
+    for text, got in zip(texts, quality_cnn.score_texts(model, texts)):
+        body = np.concatenate((text if len(text) else np.zeros(1, np.uint8), np.zeros(quality_cnn.WIDTH - 1, np.uint8)))
+        n = max(1, len(text))
+        r = np.array([sum(model.tables[k][body[i + k]] for k in range(quality_cnn.WIDTH)) for i in range(n)])
+        chunks, at = [], 0
+        while True:
+            chunks.append(np.maximum(r[at : at + quality_cnn.CHUNK].max(0) + model.bias, 0))
+            if at + quality_cnn.CHUNK >= n:
+                break
+            at += quality_cnn.STRIDE
+        assert got == pytest.approx(1 / (1 + np.exp(-(np.mean(chunks, 0) @ model.weights + model.intercept))), abs=1e-5)
+
+
+def test_training_draws_from_the_whole_text():
+    text = np.arange(60_000) // quality_cnn.CHUNK
+    kept = np.frombuffer(quality_cnn.spread_chunks(text.astype(np.uint8).tobytes()), np.uint8)
+    assert len(kept) <= quality_cnn.DRAWN * quality_cnn.CHUNK and kept[0] == 0 and kept[-1] == text[-1]
+    rng = np.random.default_rng(1)
+    drawn = {int(x) for _ in range(40) for x in quality_cnn._drawn(kept, rng)[:: quality_cnn.CHUNK]}
+    assert len(drawn) > 40
+
+
 def test_quality_without_labels_and_edges(spark):
     docs = docs_of(spark, EDGES)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -300,6 +356,26 @@ def test_quality_without_labels_and_edges(spark):
     assert len(scored) == len(EDGES) and all(0 <= r["score"] <= 1 for r in scored)
 
 
+def test_dictionaries_take_shares_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 300 * 512)
+    rows = [(i, f"lang{i % 300:03d}", f"w{i}a " * 400 + f"w{i}z " * 400) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    made = dict(language_id.fit(docs, docs.doc_id >= 0))
+    assert len(made) == 300 and max(map(len, made.values())) <= 512
+    # All three rows of a language are in its dictionary, with their beginnings and ends.
+    assert all(f"w{i}{end}".encode() in made["lang007"] for i in (7, 307, 607) for end in "az")
+    sizes = language_id.Compressors([("a", b"x" * 300), ("b", b"y" * 300)])
+    import zstandard
+
+    for text in (b"xyz" * 400, b"q"):
+        want = []
+        for content in (b"x" * 300, b"y" * 300):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            want.append(sum(len(c.compress(text[i : i + 512])) for i in range(0, len(text), 512)))
+        assert sizes.sizes(text) == want
+
+
 def test_language(spark):
     r = random.Random(2)
     say = lambda words: " ".join(r.choice(words.split()) for _ in range(60))
@@ -322,10 +398,11 @@ def brute_lines(texts):
         lines = (t or "").split("\n")
         filled = [i for i, x in enumerate(lines) if x.strip(line_dedup.BLANK)]
         gone = set()
-        for k in range(len(filled) - 2):
+        # A text of one or two lines is one window of all its lines.
+        for k in range(max(len(filled) - 2, min(1, len(filled)))):
             window = tuple(lines[i].strip(line_dedup.BLANK) for i in filled[k : k + 3])
             if window in seen:
-                for j in range(k, k + 3):
+                for j in range(k, min(k + 3, len(filled))):
                     gone |= set(range(filled[j], filled[j + 1] if j + 1 < len(filled) else len(lines)))
             seen.add(window)
         out.append((None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone)))
@@ -344,7 +421,9 @@ def test_line_dedup_matches_brute_force(spark):
 
 def test_short_documents_form_one_window(spark):
     texts = ["p q", " p q\t\n\n", "a\nb", "x\n\ny", "a\n \nb\n", "b", "b\na", "a\nb\nc", "p q\nz", None, "", "\n", "a\nb\nc"]
-    got = [(x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.dedup_lines(docs_of(spark, texts), short=True).orderBy("doc_id").collect()]
+    got = [(x["text"], x["n_lines"], x["n_removed"]) for x in line_dedup.dedup_lines(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    none = line_dedup.dedup_lines(docs_of(spark, texts[:8]), short=False)
+    assert none.filter("n_removed > 0").count() == 0
     want = [(t, len((t or "").split("\n")), 0) for t in texts]
     want[1], want[4], want[12] = ("", 3, 3), ("", 4, 4), ("", 3, 3)
     assert got == want
@@ -450,6 +529,64 @@ def test_seeds_find_every_notice_within_its_edits():
         assert k in {h[0] for h in finder.verify(whole, finder.seeds_in(whole))}
 
 
+def _edits_within(text, notice, most):
+    """Least edits of a run of whole words of a text against a notice, if at most ``most``."""
+    words, best = text.split(), None
+    size = len(notice.split())
+    for i in range(len(words)):
+        for j in range(i + 1, min(len(words), i + size + most + 1) + 1):
+            part = " ".join(words[i:j])
+            if abs(len(part) - len(notice)) > most:
+                continue
+            row = list(range(len(part) + 1))
+            for a, x in enumerate(notice, 1):
+                last, row[0] = row[0], a
+                for b, y in enumerate(part, 1):
+                    last, row[b] = row[b], min(row[b] + 1, row[b - 1] + 1, last + (x != y))
+            if row[-1] <= most:
+                best = row[-1] if best is None else min(best, row[-1])
+    return best
+
+
+def test_labels_equal_edit_distance_on_whole_words():
+    finder, r = license_scan.NoticeFinder(), random.Random(16)
+    tails = ["ple terms", "lad bowl", "xyzabc", "", " and more", "s", "x"]
+    for _ in range(120):
+        n = r.choice(finder.notices)
+        text = list(n.text)
+        for _ in range(r.randint(0, n.edits + 1)):
+            at = r.randrange(len(text))
+            text[at : at + r.randint(0, 1)] = r.choice(["", "x", "q", " "])
+        whole = " ".join(f"{prose(r.randint(0, 5), r.random())} {r.choice(['', 'un'])}{''.join(text)}{r.choice(tails)} {prose(r.randint(0, 5), r.random())}".split())
+        found = {finder.notices[k].text: edits for k, _, _, edits in finder.verify(whole, finder.seeds_in(whole))}
+        for other in finder.notices:
+            assert found.get(other.text) == _edits_within(whole, other.text, other.edits), (whole, other.text)
+
+
+def test_no_label_ends_inside_a_word():
+    finder = license_scan.NoticeFinder()
+    for text in ("licensed under cc by sample terms", "this is licensed under cc by salad bowl", "all rights reserved no part of thistle", "licensed under cc by ncxyzabc"):
+        assert finder.verify(text, finder.seeds_in(text)) == []
+
+
+def test_many_notices_take_time_in_proportion():
+    finder, seconds = license_scan.NoticeFinder(), []
+    for n in (1000, 10_000):
+        text = " ".join(["licenced under cc by nc"] * n)
+        start = time.perf_counter()
+        hits = finder.verify(text, finder.seeds_in(text))
+        seconds.append(time.perf_counter() - start)
+        assert sum(finder.notices[h[0]].label == "cc-by-nc" for h in hits) == n
+    assert seconds[1] < 30 * max(seconds[0], 0.05)
+
+
+def test_license_columns(spark):
+    docs = spark.createDataFrame([(1, "mit license", "x", "y"), (1, None, "x", "y")], "doc_id long, text string, labels string, found string")
+    got = license_scan.scan(docs)
+    assert got.columns[:3] == ["doc_id", "text", "found"] and got.columns.count("labels") == 1
+    assert [r["labels"] for r in got.collect()] == ["mit", ""] and license_scan.scan(docs.limit(0)).count() == 0
+
+
 def test_adjacent_notices_are_both_reported():
     finder = license_scan.NoticeFinder()
     for text, edits in (("licenced under cc by nc licensed under cc by nc", [1, 0]), ("licensed under cc by nc licenced under cc by nc", [0, 1])):
@@ -490,3 +627,33 @@ def test_tasks_travel_without_tables_of_the_driver():
     raw = cloudpickle.dumps(ngram_join._sketcher(5, 4))
     assert len(raw) < 200_000
     cloudpickle.loads(raw)
+
+
+# -- columns of other names ----------------------------------------------------
+
+
+CLASHES = "_lower _text score _own _id _tid _at _dk _gone _keep _lines _filled _key _shape _host _tshape _row row n_lines n_removed found cut ids".split()
+
+
+def test_clashing_columns_pass_through(spark):
+    texts = [*EDGES, prose(60, 1), prose(60, 1), prose(60, 2) + "\na\nb\nc\n", "x\na\nb\nc"]
+    docs = docs_of(spark, texts)
+    for c in CLASHES:
+        docs = docs.withColumn(c, queries.F.concat(queries.F.lit(c), queries.F.col("doc_id").cast("string")))
+
+    def same(df, names=CLASHES):
+        rows = df.collect()
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
+        return len(rows)
+
+    items = spark.createDataFrame([(1, prose(60, 2))], "item_id long, text string")
+    assert same(decontaminate.decontaminate(docs, items)) == len(texts) - 1
+    assert same(quality_cnn.accepted(docs, None)) == len(texts)
+    assert same(line_dedup.without_repeats(docs)) == len(texts) - 1  # of equal one-line documents all but one lose their text
+    assert same(line_dedup.dedup_lines(docs), [c for c in CLASHES if not c.startswith("n_")]) == len(texts)
+    assert same(ngram_join.keep_representatives(docs)) == len(texts) - 1
+    assert same(license_scan.scan(docs), [c for c in CLASHES if c != "score"]) == len(texts)
+    pages = docs.withColumn("url", queries.F.lit("http://h.com/a/1"))
+    assert same(url_filter.judge_urls(pages)) == len(texts)
+    for stage in (quality_cnn.accepted(docs.limit(0), None), line_dedup.without_repeats(docs.limit(0)), ngram_join.keep_representatives(docs.limit(0)), decontaminate.decontaminate(docs.limit(0), items)):
+        assert stage.columns == docs.columns and stage.count() == 0
