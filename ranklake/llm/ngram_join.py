@@ -128,9 +128,13 @@ def sketch(source: DataFrame, size: int, bits: int) -> np.ndarray:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """Frequency class of each counter: 0 up to twice the mean, then by powers of two."""
+    """Frequency class of each counter: 0 within the spread of what other shingles add to it, then by powers of two.
+
+    They add the mean, and vary by its square root; so the class of a shingle depends little on the corpus' size.
+    """
     mean = counts.sum(dtype=np.float64) / len(counts)
-    return np.floor(np.log2(np.maximum(1.0, counts / (2 * mean + 1)))).astype(np.uint8)
+    unit = np.sqrt(mean) + 0.5
+    return np.floor(np.log2(np.maximum(1.0, (counts - mean) / unit))).astype(np.uint8)
 
 
 # -- sets, prefixes, groups --------------------------------------------------
