@@ -52,7 +52,7 @@ from ranklake.sources.storage import discard, stored
 SIZE = 5
 PERCENT = 75
 #: Counters of the sketch; 2 ** 26 (256 MB) suits 100 TB.
-SKETCH_BITS = 23
+SKETCH_BITS = 22
 SKETCH_BLOCKS = 64
 #: Sketches that one task adds up.
 FAN_IN = 128
