@@ -22,12 +22,14 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ranklake.operators import dense
 from ranklake.operators.sizing import BROADCAST_BYTES, stored_and_measured
-from ranklake.operators.topk import CELLS, BestPerQuery, id_array
+from ranklake.operators.topk import BestPerQuery, id_array
 
 #: Vectors that the centroids are fitted on, centroids, and passes over the sample.
 SAMPLE = 65_536
 MAX_LISTS = 4096
 PASSES = 12
+#: Distances to centroids that are held at once.
+ORDER_CELLS = 500_000
 #: Share of the nearest vectors that the lists read by default are to hold, as estimated on so many of the sample.
 TARGET = 0.95
 TRIED, TRIED_K = 256, 10
@@ -48,11 +50,22 @@ def _distances(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 def _in_order(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` nearest centroids of each row; of equally near ones the first."""
-    step = max(1, CELLS // len(centroids))
-    parts = [np.argsort(_distances(rows[lo : lo + step], centroids), axis=1, kind="stable")[:, :n] for lo in range(0, len(rows), step)]
+    step = max(1, ORDER_CELLS // len(centroids))
+    parts = [_least(_distances(rows[lo : lo + step], centroids), n) for lo in range(0, len(rows), step)]
     return np.concatenate(parts) if parts else np.zeros((0, n), np.int64)
 
 
+def _least(distances: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` least distances of each row, NaN last."""
+    if n != 1:
+        # A copy, or all places would be kept for the first ones.
+        return np.argsort(distances, axis=1, kind="stable")[:, :n].copy()
+    first = np.argmin(distances, axis=1)
+    odd = np.isnan(np.take_along_axis(distances, first[:, None], axis=1)[:, 0])
+    first[odd] = np.argsort(distances[odd], axis=1, kind="stable")[:, 0]
+    return first[:, None]
+
+
 def fit_centroids(sample: np.ndarray, n_lists: int, passes: int = PASSES) -> np.ndarray:
     """K-means from distinct vectors of the sample; lists that run empty begin anew at the vectors farthest off."""
     distinct = np.unique(sample, axis=0)
@@ -138,7 +151,8 @@ def search(
     keys, n_lists = list(keys), len(index.centroids)
     probes = min(n_lists, probes if probes is not None else index.probes)
     queries = queries.select(*keys, "embedding").filter(F.col("embedding").isNotNull())
-    held, size = stored_and_measured(queries, "query_vectors", 8 * F.size("embedding") + 8 * probes + 32 * len(keys))
+    places = 4 * probes if probes < n_lists else 4
+    held, size = stored_and_measured(queries, "query_vectors", 8 * F.size("embedding") + places + 32 * len(keys))
     schema = StructType([queries.schema[key] for key in keys] + [index.vectors.schema["doc_id"], StructField("score", DoubleType())])
     parts = size.parts(limit)
     part_no = F.pmod(F.xxhash64(*keys, "embedding"), F.lit(parts))
@@ -154,8 +168,7 @@ def _in_lists(index: ListIndex, queries: DataFrame, k: int, keys: list[str], pro
     """The best ``k`` of each task's vectors for the queries that probe their lists."""
     table = queries.toArrow()
     matrix = dense._matrix(table.column("embedding"), table.column(keys[0]), index.centroids.shape[1] if table.num_rows else 0)
-    probed = _in_order(matrix, index.centroids, probes) if table.num_rows else np.zeros((0, 0), np.int64)
-    by_list = {int(c): np.flatnonzero((probed == c).any(1)) for c in np.unique(probed)}
+    by_list = _by_list(matrix, index.centroids, probes) if table.num_rows else {}
     shared = queries.sparkSession.sparkContext.broadcast((table.select(keys), matrix, by_list))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +192,17 @@ def _in_lists(index: ListIndex, queries: DataFrame, k: int, keys: list[str], pro
     return wanted.select("doc_id", "embedding", "list").mapInArrow(nearest, schema)
 
 
+def _by_list(matrix: np.ndarray, centroids: np.ndarray, probes: int) -> dict[int, np.ndarray]:
+    """The queries that probe a list, by list."""
+    if probes >= len(centroids):
+        # One array for all lists: it goes to the tasks once, not once a list.
+        return dict.fromkeys(range(len(centroids)), np.arange(len(matrix), dtype=np.int32))
+    probed = _in_order(matrix, centroids, probes).astype(np.int32).ravel()
+    order = np.argsort(probed, kind="stable")
+    lists, begins = np.unique(probed[order], return_index=True)
+    return dict(zip(lists.tolist(), np.split((order // max(1, probes)).astype(np.int32), begins[1:])))
+
+
 def _found(best: BestPerQuery, names: pa.Table, own: np.ndarray, keys: list[str]) -> list[pa.RecordBatch]:
     if best.doc is None:
         return []

@@ -1,6 +1,8 @@
 """Inverted lists against the exact search."""
 
 import os
+import pickle
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -63,6 +65,31 @@ def test_small_tables(spark):
         dense_lists.search(dense_lists.build_lists(vectors, fresh_path(spark, "lists")), odd.withColumnRenamed("doc_id", "query_id"), 3).count()
 
 
+def test_lists_of_a_query_take_no_more_memory_than_their_number():
+    rng = np.random.default_rng(6)
+    rows, centroids = rng.normal(size=(5000, 4)), rng.normal(size=(400, 4))
+    exact = np.argsort(dense_lists._distances(rows, centroids), axis=1, kind="stable")
+    for n in (1, 3):
+        tracemalloc.start()
+        found = dense_lists._in_order(rows, centroids, n)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (found == exact[:, :n]).all() and peak < 5000 * 400 * 8
+    nan = np.array([[np.nan, np.inf, np.nan], [np.nan, 2.0, 2.0], [np.nan] * 3])
+    assert dense_lists._least(nan, 1).tolist() == np.argsort(nan, axis=1, kind="stable")[:, :1].tolist()
+
+
+def test_queries_that_probe_all_lists_are_sent_once():
+    rng = np.random.default_rng(6)
+    queries, centroids = rng.normal(size=(1000, 4)), rng.normal(size=(200, 4))
+    every = dense_lists._by_list(queries, centroids, 200)
+    assert len(pickle.dumps(every)) < 20_000 and all((own == np.arange(1000)).all() for own in every.values()) and len(every) == 200
+    probed = dense_lists._in_order(queries, centroids, 7)
+    assert {c: own.tolist() for c, own in dense_lists._by_list(queries, centroids, 7).items()} == {
+        c: np.flatnonzero((probed == c).any(1)).tolist() for c in np.unique(probed).tolist()
+    }
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_recall_on_the_tables(spark):
     vectors = roles.vectors(spark, SF_DIR)
