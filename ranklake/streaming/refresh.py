@@ -14,6 +14,7 @@ from ranklake.operators.reviews import TOP_N_REVIEWS, rank_reviews
 from ranklake.plans.product_table import product_table
 from ranklake.sources.schemas import PRODUCT_META
 from ranklake.sources.snapshots import CommitConflict, Manifest, SnapshotStore
+from ranklake.sources.storage import discard, stored
 
 _REVIEW_COLUMNS = ("parent_asin", "text", "rating", "helpful_vote")
 
@@ -75,22 +76,32 @@ class ProductStore:
         batch: tuple[str, int] | None = None,
     ) -> Manifest:
         """Takes in a delivery and publishes it; begins anew when another writer was first."""
-        while True:
-            base = self._store.manifest(spark)
-            if batch and base.batches.get(batch[0], -1) >= batch[1]:
-                return base
-            try:
-                return self._apply(spark, base, reviews, meta, batch)
-            except CommitConflict:
-                continue
+
+        def known(base: Manifest) -> bool:
+            return batch is not None and base.batches.get(batch[0], -1) >= batch[1]
+
+        base = self._store.manifest(spark)
+        if known(base):
+            return base
+        # A batch of a stream is parsed whole, with every column, each time that it is used.
+        if reviews is not None:
+            reviews = stored(reviews.select(*_REVIEW_COLUMNS).filter(F.col("parent_asin").isNotNull()), "delivery")
+        if meta is not None:
+            meta = stored(meta.select(*PRODUCT_META.fieldNames()), "delivery")
+        try:
+            while True:
+                try:
+                    return self._apply(spark, base, reviews, meta, batch)
+                except CommitConflict:
+                    base = self._store.manifest(spark)
+                    if known(base):
+                        return base
+        finally:
+            discard(*[df for df in (reviews, meta) if df is not None])
 
     def _apply(self, spark, base: Manifest, reviews, meta, batch) -> Manifest:
         # Versions are named anew in each attempt: a folder that a manifest names is never written again.
         tag, store, new = uuid.uuid4().hex, self._store, base
-        if reviews is not None:
-            reviews = reviews.select(*_REVIEW_COLUMNS).filter(F.col("parent_asin").isNotNull())
-        if meta is not None:
-            meta = meta.select(*PRODUCT_META.fieldNames())
         # At most ``buckets`` numbers.
         touched = sorted({r[0] for df in (reviews, meta) if df is not None for r in df.select(self._bucket()).distinct().collect()})
         if not touched:
@@ -101,7 +112,7 @@ class ProductStore:
             new = store.write(self._placed(self._latest(spark, base, meta, touched)), "meta", new, touched, tag)
         # Built from what was just written, so that nothing is ranked twice.
         best, latest = (self._read(spark, t, new, touched) for t in ("reviews", "meta"))
-        products = product_table(best, latest, self.top_n)
+        products = product_table(best, latest, self.top_n, hot_rows=None)  # none is hot: at most ``top_n`` are kept
         new = store.write(self._placed(products), "products", new, touched, tag)
         return store.commit(spark, new, batch)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
-from ranklake.operators import products, reviews
+from ranklake.operators import products, reviews, sizing
 from ranklake.plans.product_table import product_table, run_etl
 from ranklake.sources import tables
 from ranklake.sources.schemas import PRODUCT_META, PRODUCTS
@@ -68,6 +68,15 @@ def test_group_limit_runs_before_the_shuffle(spark, raw_reviews):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_keys_are_counted_where_a_hash_has_many_rows(spark, rows):
+    keys = spark.range(3000).select(F.when(F.col("id") < 2000, F.concat(F.lit("k"), F.col("id"))).when(F.col("id") < 2900, "hot").alias("k"))
+    assert rows(sizing.hot_keys(keys, "k", 300)) == [("hot", 3)]
+    assert rows(sizing.hot_keys(keys, "k", 90)) == [("hot", 10), (None, 2)]
+    none = sizing.hot_keys(keys, "k", 1000)
+    assert none.collect() == []
+    assert "Aggregate(keys=[k#" not in plan_of(none).split("Initial Plan")[0]
+
+
 def test_clean_meta(spark):
     meta = spark.createDataFrame(
         [

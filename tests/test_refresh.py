@@ -1,6 +1,7 @@
 """The product store: deliveries, versions and writers against a full build."""
 
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,33 @@ def test_a_writer_that_came_second_begins_anew(spark, tmp_path, monkeypatch):
     assert not drafts
 
 
+def test_a_delivery_is_read_once(spark, tmp_path):
+    store = ProductStore(f"{tmp_path}/store", buckets=4)
+    os.makedirs(f"{tmp_path}/read")
+
+    def noted(rows):
+        def note(batches):
+            for batch in batches:
+                with open(f"{tmp_path}/read/{uuid.uuid4().hex}", "w") as f:
+                    f.write("x" * batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(note, rows.schema)
+
+    def n_read():
+        return sum(os.path.getsize(f"{tmp_path}/read/{f}") for f in os.listdir(f"{tmp_path}/read"))
+
+    meta = metadata(spark, [("p1", "T"), ("p2", "U"), (None, "no id")])
+    store.apply(spark, meta=noted(meta))
+    assert n_read() == 3
+    reviews = spark.createDataFrame([("p1", "one", 5.0, 1), ("p1", "two", 4.0, None), ("p2", "x", 1.0, 2), (None, "stray", 1.0, 1)], RAW)
+    store.apply(spark, reviews=noted(reviews), batch=("s", 0))
+    assert n_read() == 7
+    store.apply(spark, reviews=noted(reviews), batch=("s", 0))  # known, so not read at all
+    assert n_read() == 7
+    assert rows_of(store.products(spark)) == rows_of(product_table(reviews, meta))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_streams_of_every_checkpoint(spark, tmp_path):
     meta, reviews = roles.product_meta(spark, SF_DIR), roles.reviews(spark, SF_DIR)
